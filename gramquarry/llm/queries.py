@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gramquarry.llm import licenses
 from gramquarry.llm.common import table
 
 
@@ -33,6 +34,12 @@ def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload_media(table(spark, sf_dir, "documents"))
 
 
+def op5_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gramquarry.llm.pii import personal_spans
+
+    return personal_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gramquarry.llm.minhash import near_duplicates
 
@@ -45,11 +52,21 @@ def op7_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
 
 
+def op8_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gramquarry.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokens=2048, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_projection_forest, op2_token_efficiency, op3_gif_media, op6_circulant_minhash, op7_low_discrepancy_mix, op9_vector_packing)}
-ORACLES: dict[str, str] = {}
+def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gramquarry.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_projection_forest, op2_token_efficiency, op3_gif_media, op5_disclosing_terms, op6_circulant_minhash, op7_low_discrepancy_mix, op8_sentence_rules, op9_vector_packing, op10_weak_labels)}
+ORACLES: dict[str, str] = {"op8_sentence_rules": licenses.oracle()}
