@@ -8,7 +8,9 @@ with the sequence's remaining capacity.
 
 from __future__ import annotations
 
+import base64
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramquarry.llm.common import texts
+from gramquarry.llm.common import cut_lineage, texts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Entries of a worker's cache of encoded chunks; it is emptied when full.
-CACHE = 300_000
+CACHE = 500_000
 
 
 class Encoder:
@@ -30,38 +32,43 @@ class Encoder:
 
     The byte-level vocabulary splits a text before every single blank between non-blanks, so the
     chunks between blanks encode independently and a cache of chunks serves most of a text. Texts
-    in which blanks touch other white space are encoded as a whole.
+    in which blanks touch each other are encoded as a whole. The vocabulary's file of ranks gives
+    the same ids as its tokenizer file, several times as fast.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, ranks: str, pattern: str):
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(ranks, "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+        self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.cache: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.encode(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        chunks = text.split(" ")
-        if "" in chunks[1:]:
+        first, *rest = text.split(" ")
+        if "" in rest:
             return self.whole(text)
-        cache = self.cache
-        first = self.whole(chunks[0]) if chunks[0] else b""
-        rest = chunks[1:]
+        cache, whole = self.cache, self.whole
         found = list(map(cache.get, rest))
         if None in found:
-            new = list(dict.fromkeys(c for c, f in zip(rest, found, strict=True) if f is None))
-            coded = {c: np.asarray(e.ids, dtype="<u4").tobytes() for c, e in zip(new, self.tokenizer.encode_batch_fast([" " + c for c in new], add_special_tokens=False), strict=True)}
-            found = [coded[c] if f is None else f for c, f in zip(rest, found, strict=True)]
-            if len(cache) + len(coded) > CACHE:
+            if len(cache) > CACHE:
                 cache.clear()
-            cache.update((c, v) for c, v in coded.items() if len(c) < 64)
-        return first + b"".join(found)
-
-
-def pieces(docs: DataFrame, tokenizer: str, *, tokens: int = 2048, end_id: int = 1) -> DataFrame:
+            for i, known in enumerate(found):
+                if known is None:
+                    chunk = rest[i]
+                    known = cache.get(chunk)
+                    if known is None:
+                        known = whole(" " + chunk)
+                        if len(chunk) < 64:
+                            cache[chunk] = known
+                    found[i] = known
+        return whole(first) + b"".join(found)
+
+
+def pieces(docs: DataFrame, ranks: str, pattern: str, *, tokens: int = 2048, end_id: int = 1) -> DataFrame:
     """Token pieces of (doc_id, text): full sequences of `tokens` ids, then what remains.
 
     A document is its text's ids followed by end_id, so an empty or null text is one id. Loss-bearing
@@ -69,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, tokens: int = 2048, end_id: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(tokenizer), np.asarray([end_id], dtype="<u4").tobytes()
+        encode, end = Encoder(ranks, pattern), np.asarray([end_id], dtype="<u4").tobytes()
         names = [x.split()[0] for x in PIECES.split(", ")]
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
@@ -146,13 +153,11 @@ def pack(items: DataFrame, *, tokens: int = 2048, segments: int = 1024, loss: in
     return whole.unionByName(rest.groupBy("g").applyInPandas(run, PACKED))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, tokens: int = 2048, segments: int = 1024, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks: str, pattern: str, *, tokens: int = 2048, segments: int = 1024, end_id: int = 1) -> DataFrame:
     """Every document's pieces with their places in sequences of at most `tokens` ids.
 
     Null or empty texts are a single end id; a null doc_id is kept as null; equal rows are packed
     each; an empty table gives no rows; only doc_id and text of the table are read.
     """
-    from gramquarry.llm.common import cut_lineage
-
-    items = cut_lineage(pieces(docs, tokenizer, tokens=tokens, end_id=end_id))
+    items = cut_lineage(pieces(docs, ranks, pattern, tokens=tokens, end_id=end_id))
     return pack(items, tokens=tokens, segments=segments, loss=tokens, rows=items.count())

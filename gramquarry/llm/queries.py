@@ -57,9 +57,11 @@ def op8_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from gramquarry.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokens=2048, end_id=1)
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokens=2048, end_id=1)
 
 
 def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
