@@ -34,6 +34,12 @@ def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload_media(table(spark, sf_dir, "documents"))
 
 
+def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gramquarry.llm.quotes import link_quotes
+
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op5_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gramquarry.llm.pii import personal_spans
 
@@ -70,5 +76,5 @@ def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_projection_forest, op2_token_efficiency, op3_gif_media, op5_disclosing_terms, op6_circulant_minhash, op7_low_discrepancy_mix, op8_sentence_rules, op9_vector_packing, op10_weak_labels)}
+QUERIES = {f.__name__: f for f in (op1_projection_forest, op2_token_efficiency, op3_gif_media, op4_quotation_links, op5_disclosing_terms, op6_circulant_minhash, op7_low_discrepancy_mix, op8_sentence_rules, op9_vector_packing, op10_weak_labels)}
 ORACLES: dict[str, str] = {"op8_sentence_rules": licenses.oracle()}
