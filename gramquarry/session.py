@@ -1,4 +1,4 @@
-"""Makes the package importable on executors."""
+"""What operators need of the session: the package on executors, and lineage cut in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,3 +23,15 @@ def ship(spark: SparkSession) -> None:
             z.write(p, Path("gramquarry") / p.relative_to(root))
     sc.addPyFile(str(archive))
     _SHIPPED.add(sc.applicationId)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder that the cluster shares (spark.checkpoint.dir).
+
+    The setting is read from the session; only where it is unset (a local test) is a
+    temporary folder chosen. Spark's cleaner removes the files when they are unreachable.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gramquarry-checkpoint-"))
+    return df.checkpoint(eager=True)
