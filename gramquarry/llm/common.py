@@ -1,14 +1,16 @@
-"""Helpers shared by the training-data operators: shared-folder checkpoints, tables and text access."""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from gramquarry.session import cut_lineage
+
+__all__ = ["WORD", "cut_lineage", "mix64", "table", "texts"]
 
 #: What the contracts call a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,27 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the cluster shares (spark.checkpoint.dir).
-
-    The setting is read from the session; only where it is unset (a local test) is a
-    temporary folder chosen. Spark's cleaner removes the files when they are unreachable.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gramquarry-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def code_points_text(col: Column) -> Column:
-    """The text with null as the empty string."""
-    return F.coalesce(col, F.lit(""))
-
-
 def texts(column: pa.Array, slice_rows: int = 512) -> Iterator[list[str]]:
     """A text column as lists of at most slice_rows strings, null as the empty string."""
     for at in range(0, len(column), slice_rows):
