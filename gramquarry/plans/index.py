@@ -19,7 +19,13 @@ from gramquarry.plans.search import exact, holds
 from gramquarry.session import cut_lineage
 
 KEYS = ("column", "group_id")
-TABLES = ("fp_term", "fp_posting", "fp_index", "fp_block")
+#: The stored tables; an empty one has no files to infer a schema from.
+SCHEMAS = {
+    "fp_term": "column string, group_id int, level tinyint, tier string, term_index int, is_del boolean, budget tinyint, payload binary",
+    "fp_posting": "column string, group_id int, tier string, term_index int, doc_id bigint",
+    "fp_index": "column string, group_id int, tier string, len_idx int, bucket int, orders array<int>",
+    "fp_block": "column string, group_id int, target_level tinyint, hot_count bigint, common_count bigint, doc_count bigint, format_version int",
+}
 #: Slices up to so many bytes occur nearly everywhere; a scan answers them faster than the index.
 SHORT = 2
 
@@ -97,10 +103,10 @@ class FpIndex:
     @staticmethod
     def read(spark: SparkSession, path: str) -> FpIndex:
         """A stored index; another format version is an error."""
-        term, posting, index, block = (spark.read.parquet(f"{path}/{t}") for t in TABLES)
+        term, posting, index, block = (spark.read.schema(schema).parquet(f"{path}/{t}") for t, schema in SCHEMAS.items())
         if not block.where(F.col("format_version") != FORMAT_VERSION).isEmpty():
             raise ValueError("the index has another format version")
-        return FpIndex(*(t.withColumn("column", F.col("column").cast("string")) for t in (term, posting, index, block)))
+        return FpIndex(term, posting, index, block)
 
     def lookup(self, column: str, slices: list[bytes]) -> DataFrame:
         """Distinct (slice, doc_id): terms found through the buckets of both tiers and verified by their payload."""
