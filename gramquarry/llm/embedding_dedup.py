@@ -5,8 +5,9 @@ to both sides (spill), so close pairs seldom part. Pairs are compared within lea
 precision, counted in the first leaf they share, and united into components.
 
 The trees' directions come from seeds and their thresholds from a bounded sample (`sample_rows`, the
-rows with the least hash); every vector is then routed through every tree. Leaves that grow beyond
-`block` vectors are compared exactly, block pair by block pair.
+rows with the least hash), thinned to vectors that are no near-duplicates of each other, so that medians
+don't fall into a dense group and part it. Every vector is then routed through every tree. Leaves that
+grow beyond `block` vectors are compared exactly, block pair by block pair.
 """
 
 from __future__ import annotations
@@ -77,6 +78,16 @@ def grow(x: np.ndarray, seed: int, leaf: float, spill: float, depth: int = 40) -
     return tree
 
 
+def thinned(x: np.ndarray, cosine: float, step: int = 1000) -> np.ndarray:
+    """The rows of x without those that are near an earlier one: of a dense group, few stay."""
+    kept = x[:0]
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        part = part[~(part @ kept.T >= cosine).any(axis=1)]
+        kept = np.concatenate([kept, part[~np.tril(part @ part.T >= cosine, -1).any(axis=1)]])
+    return kept
+
+
 def _compare(df: pd.DataFrame, kind: str, cosine: float) -> pd.DataFrame:
     """Per vector of a leaf (or of a pair of its blocks): links first found here, and its local component."""
     df = df.sort_values("node", ignore_index=True)
@@ -110,7 +121,7 @@ def _compare(df: pd.DataFrame, kind: str, cosine: float) -> pd.DataFrame:
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = 0.9, trees: int = 12, leaf_rows: int = 256, spill: float = 0.05, sample_rows: int = 20_000, block: int = 1024, seed: int = 7
+    vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = 0.9, trees: int = 12, leaf_rows: int = 256, spill: float = 0.05, sample_rows: int = 10_000, block: int = 1024, seed: int = 7
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of the table.
 
@@ -144,7 +155,9 @@ def near_duplicate_vectors(
     forests: dict[int, list[Tree]] = {}
     for length, same in sample.groupby(sample.vector.map(len)):
         x = unit(list(same.vector), kind)
-        forests[int(length) // size] = [grow(x, seed * 1000 + t, max(16, leaf_rows * len(sample) / max(1, total)), spill) for t in range(trees)]
+        leaf = max(16, leaf_rows * len(sample) / max(1, total))
+        few = thinned(x, cosine)
+        forests[int(length) // size] = [grow(few, seed * 1000 + t, leaf, spill) for t in range(trees)]
     held = classes.sparkSession.sparkContext.broadcast(forests)  # trees times sample_rows / 16 thresholds at most
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
