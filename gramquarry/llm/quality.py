@@ -120,8 +120,9 @@ def train(rows: list[Row], passes: int = 60, rate: float = 4.0, decay: float = 1
     if not len(y) or y.sum() < 1e-9 or (1 - y).sum() < 1e-9:
         return weights, 0.0 if not len(y) else float(np.where(y.mean() >= 0.5, 2.0, -2.0))
     found = [features(r.text or "") for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(w) for w, _ in found])
-    where, share = np.concatenate([w for w, _ in found]), np.concatenate([s for _, s in found])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(w) for w, _ in found])
+    where, share = np.concatenate([w.astype(np.int32) for w, _ in found]), np.concatenate([s.astype(np.float32) for _, s in found])
+    del found
     balance = y / (2 * y.sum()) + (1 - y) / (2 * (1 - y).sum())
     seen, seen_bias = np.full(1 << BITS, 1e-6), 1e-6
     for _ in range(passes):
@@ -135,7 +136,7 @@ def train(rows: list[Row], passes: int = 60, rate: float = 4.0, decay: float = 1
     return weights, float(bias)
 
 
-def classify(docs: DataFrame, *, sample_rows: int = 4000, sample_chars: int = 20_000_000) -> DataFrame:
+def classify(docs: DataFrame, *, sample_rows: int = 3000, sample_chars: int = 4_000_000) -> DataFrame:
     """The table with __score, the scorer's probability that the row's text is good.
 
     At most `sample_rows` documents train the scorer, half of them of either posterior label where there are so
