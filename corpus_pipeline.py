@@ -50,7 +50,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     taken = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__copies")).where("__copies > 0")
     taken = taken.withColumnRenamed("doc_id", "__id")
-    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
+    both = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["__id"]))  # as long as the documents: never broadcast
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(docs.columns)
 
 
