@@ -101,6 +101,8 @@ def fill(demand: np.ndarray, capacity: np.ndarray) -> tuple[np.ndarray, np.ndarr
     largest dot product with its remaining capacity, ties by row number, until none fits. Items of
     one demand vector are interchangeable, so the choice runs over distinct vectors.
     """
+    if (demand > capacity).any():
+        raise ValueError("an item is larger than an empty sequence")
     kinds, kind = np.unique(demand, axis=0, return_inverse=True)
     order = np.argsort(kind, kind="stable")
     begin = np.searchsorted(kind[order], np.arange(len(kinds)))

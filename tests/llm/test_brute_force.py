@@ -236,8 +236,10 @@ def test_packing(docs, texts):
 
 def test_packing_limits():
     rng = np.random.default_rng(1)
-    demand = np.column_stack([n := rng.integers(1, 900, 500), np.ones(500, dtype=np.int64), (n * rng.uniform(0, 1, 500)).astype(np.int64)])
+    demand = np.column_stack([n := rng.integers(1, 900, 500), np.ones(500, dtype=np.int64), (n * rng.uniform(0, 0.6, 500)).astype(np.int64)])
     bins, places = packing.fill(demand, np.array([1000, 3, 600]))
+    with pytest.raises(ValueError):
+        packing.fill(np.array([[2, 1, 1]]), np.array([1, 1, 1]))
     for b in np.unique(bins):
         held = demand[bins == b]
         assert (held.sum(axis=0) <= [1000, 3, 600]).all()
