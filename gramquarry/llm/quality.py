@@ -12,7 +12,6 @@ from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
