@@ -109,7 +109,8 @@ def disclosures(docs: DataFrame, spans: DataFrame, *, share: float, contexts: in
         return together.select("kind", "entity", "term", F.lit(0.0).alias("share"))
     words = docs.select(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}+"), F.lit(0))).alias("w"))
     number = docs.count()
-    frequencies = words.select(F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # counted before the join: a row for each word and task is shuffled, however many terms are wanted
+    frequencies = words.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     information = F.log(F.lit(float(number)) / F.col("n_e"))
     mutual = F.log(F.lit(float(number)) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_t")))
     # an entity of every document holds no information to disclose
