@@ -401,7 +401,7 @@ def block_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).block.groupBy(F.col("column").alias("field")).agg(F.sum("common_count").alias("common_count"), F.sum("doc_count").alias("doc_count"), F.max("format_version").alias("format_version"))
 
 
-@query("SELECT 'common' AS tier, count(DISTINCT c_name) AS verified FROM customer WHERE contains(c_name, '00765')")
+@query("SELECT 'common' AS tier, count(DISTINCT c_name) AS verified FROM customer WHERE contains(c_name, '00765') HAVING count(*) > 0")
 def search_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).funnel("c_name", "00765").select("tier", "verified")
 
