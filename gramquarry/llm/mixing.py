@@ -83,14 +83,15 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
     placed = dealt.withColumn("upto", F.sum("size").over(inside)).join(base, ["number", "bucket"])
     placed = placed.withColumn("start", F.col("base") + F.col("upto") - F.col("size"))
 
-    # the schedule: golden-ratio points through the cumulative targets
+    # the schedule: golden-ratio points through the cumulative targets; its blocks compress so well that Spark
+    # would take them for small and broadcast them
     counts = _block_counts(plan, block_words, most)
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     key_row = F.monotonically_increasing_id()
     placed = cut_lineage(placed.select("doc_id", "size", "source_size", "target", "number", "start", first.alias("first"), F.when(F.col("size") > 0, last).otherwise(first).alias("last")).withColumn("row", key_row))
     pieces = placed.where("size > 0").select("row", "number", "start", "size", F.explode(F.sequence("first", "last")).alias("block"))
     part = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    taken = pieces.withColumn("part", part).join(counts, ["number", "block"]).groupBy("row").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
+    taken = pieces.withColumn("part", part).join(counts.hint("merge"), ["number", "block"]).groupBy("row").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
     return placed.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
