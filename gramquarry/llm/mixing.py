@@ -3,7 +3,8 @@
 Slot k of the schedule is the golden-ratio point frac(k * phi) mapped through the cumulative targets of
 the sources, so every stretch of the schedule holds each source in nearly its target share. Slots are
 ranked per source, and rank r joins block r modulo the source's blocks: equal-token blocks of the
-source's documents in a shuffled order. DataFrame and SQL functions only.
+source's documents in a shuffled order. Blocks are as large as the source allows, and the shares of slots
+count each source's target in its own blocks. DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from gramquarry.llm.common import WORD, cut_lineage
 #: The golden ratio's fraction in 48 bits, odd so that 2^48 slots have distinct points.
 PHI = 173_961_102_589_771
 POINT = 1 << 48
-#: Cells of the unit interval on which slots and shares are joined.
+#: Cells of the unit interval on which slots and shares are joined, at least; more where there are more sources.
 CELLS = 4096
+#: Slots of a source's target or size, whichever is smaller, at least; fewer only where all sources together would
+#: have more than MOST_SLOTS by it, and never under LEAST_FINE. Sources of fewer words have blocks of one word.
+FINE, LEAST_FINE, MOST_SLOTS = 512, 32, 1 << 26
 #: A table of sources is broadcast only up to so many rows.
 BROADCAST_ROWS = 50_000
 
@@ -57,7 +61,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
     A row's place in its source's shuffled order comes from hashes of its id, so reruns agree. Rows are
     dealt to buckets by those hashes and positions are running sums over buckets, then within one,
     so a source with most of the rows is no single task. Blocks have the words of the mix over `slots`,
-    16 to 4096, so the schedule is as fine at every size until blocks are large.
+    16 to 4096, but in each source at most a FINE-th of its size and its target, so a small source
+    meets its target beside any total. Counts of golden-ratio points are off by a few slots at most.
 
     A null or empty text has size 0 and takes nothing; null is a source of its own; a null id and
     repeated ids are rows of their own, in an order of their sizes; an empty table gives no rows; other
@@ -71,10 +76,13 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
     plan = cut_lineage(plan)
     sources, total = plan.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
     block_words = max(16, min(4096, -(-total // slots)))
-    plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / block_words)).withColumn("buckets", F.ceil(F.col("n") / bucket_rows))
+    fine = max(LEAST_FINE, min(FINE, MOST_SLOTS // max(1, sources)))
+    own_words = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.least(F.col("source_size").cast("double"), "target") / fine)))
+    plan = plan.withColumn("block_words", own_words.cast("long"))
+    plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_words"))).withColumn("buckets", F.ceil(F.col("n") / bucket_rows))
 
     # positions in the shuffled order
-    own = plan.select("key", "number", "buckets", "source_size", "target")
+    own = plan.select("key", "number", "buckets", "source_size", "target", "block_words")
     dealt = rows.withColumn("key", key).join(F.broadcast(own) if sources <= BROADCAST_ROWS else own, "key")
     dealt = dealt.withColumn("h", F.xxhash64("doc_id", F.lit("order"))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.col("buckets")))
     sums = dealt.groupBy("number", "bucket").agg(F.sum("size").alias("held"))
@@ -85,33 +93,36 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
 
     # the schedule: golden-ratio points through the cumulative targets; its blocks compress so well that Spark
     # would take them for small and broadcast them
-    counts = _block_counts(plan, block_words, most)
-    first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
+    counts = _block_counts(plan, most, 1 << max(CELLS - 1, sources - 1).bit_length())
+    words = F.col("block_words")
+    first, last = F.expr("start div block_words"), F.expr("(start + size - 1) div block_words")
     key_row = F.monotonically_increasing_id()
-    placed = cut_lineage(placed.select("doc_id", "size", "source_size", "target", "number", "start", first.alias("first"), F.when(F.col("size") > 0, last).otherwise(first).alias("last")).withColumn("row", key_row))
-    pieces = placed.where("size > 0").select("row", "number", "start", "size", F.explode(F.sequence("first", "last")).alias("block"))
-    part = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
+    placed = cut_lineage(placed.select("doc_id", "size", "source_size", "target", "number", "start", "block_words", first.alias("first"), F.when(F.col("size") > 0, last).otherwise(first).alias("last")).withColumn("row", key_row))
+    pieces = placed.where("size > 0").select("row", "number", "start", "size", "block_words", F.explode(F.sequence("first", "last")).alias("block"))
+    part = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * words) - F.greatest(F.col("start"), F.col("block") * words)
     taken = pieces.withColumn("part", part).join(counts.hint("merge"), ["number", "block"]).groupBy("row").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
     return placed.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def _block_counts(plan: DataFrame, block_words: int, most: int) -> DataFrame:
+def _block_counts(plan: DataFrame, most: int, cells_in_all: int) -> DataFrame:
     """(number, block, times): how often the schedule's slots take each block.
 
     Slots are numbered over the whole mix; each gets its source, and its rank is the count of that
-    source's earlier slots, from counts per stretch of slots and a running sum over stretches.
+    source's earlier slots, from counts per stretch of slots and a running sum over stretches. A source's
+    share of the slots is its target in blocks of their mean size, so its short last block is no loss.
     """
     everything = Window.partitionBy(F.lit(0))
-    shares = plan.where("target > 0").withColumn("high", F.sum("target").over(everything.orderBy("number"))).withColumn("all", F.sum("target").over(everything))
-    shares = shares.select("number", "blocks", ((F.col("high") - F.col("target")) / F.col("all") * POINT).cast("long").alias("low"), F.when(F.col("high") >= F.col("all"), F.lit(POINT)).otherwise((F.col("high") / F.col("all") * POINT).cast("long")).alias("high"), "all")
-    size = F.ceil(F.col("all") / block_words)
+    shares = plan.where("target > 0").withColumn("due", F.col("target") * F.col("blocks") / F.col("source_size"))
+    shares = shares.withColumn("high", F.sum("due").over(everything.orderBy("number"))).withColumn("all", F.sum("due").over(everything))
+    shares = shares.select("number", "blocks", ((F.col("high") - F.col("due")) / F.col("all") * POINT).cast("long").alias("low"), F.when(F.col("high") >= F.col("all"), F.lit(POINT)).otherwise((F.col("high") / F.col("all") * POINT).cast("long")).alias("high"), "all")
+    size = F.ceil("all")
     stretch = 1024
     slots = shares.select(size.alias("slots")).distinct().select("slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / stretch))).alias("stretch"))
     slots = slots.repartition(F.col("stretch")).select("stretch", F.explode(F.sequence(F.col("stretch") * stretch, F.least((F.col("stretch") + 1) * stretch, "slots") - 1)).alias("slot"))
     point = F.expr(f"cast(pmod(cast(slot as decimal(38, 0)) * {PHI}, {POINT}) as bigint)")
     slots = slots.withColumn("point", point)
     # a slot's source: an equi-join on the cell of the unit interval, then the share that holds the point
-    width = POINT // CELLS
+    width = POINT // cells_in_all
     cells = shares.where("low < high").select("low", "high", "number", "blocks", F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"(high - 1) div {width}"))).alias("cell"))
     slots = slots.withColumn("cell", F.expr(f"point div {width}")).join(cells, "cell").where("point >= low and point < high").select("slot", "stretch", "number", "blocks")
     per = slots.groupBy("number", "stretch").agg(F.count("*").alias("held"))

@@ -280,6 +280,17 @@ def test_mix(spark, docs):
     assert out[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
 
 
+def test_mix_of_small_sources_beside_a_huge_total(spark):
+    """One slot for the whole mix gives the largest blocks, as a total of 2^32 words does."""
+    sizes = {f"s{i:02}": n for i, n in enumerate([300_000, 1, 40, 500, 1000, 2000, 5000, 10_000, 30_000, 300_000])}
+    rows = [(100 * k + i, "w " * (n // 10 + (i < n % 10)), s) for k, (s, n) in enumerate(sizes.items()) for i in range(10)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), slots=1).toPandas()
+    assert (out.taken <= 3 * out["size"]).all()
+    target = waterfill(sizes)
+    taken = out.assign(source=out.doc_id.map({i: s for i, _, s in rows})).groupby("source").taken.sum()
+    assert all(abs(taken[s] - target[s]) <= 3 + 0.01 * target[s] for s in sizes), (taken.to_dict(), target)
+
+
 def test_quality(spark, sf):
     con = duckdb.connect()
     big = sf.replace("sf0.001", "sf0.01")
