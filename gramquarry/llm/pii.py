@@ -1,6 +1,6 @@
 """Personal data: pattern spans, and terms that reveal them, by corpus co-occurrence.
 
-Entities are the values that the patterns find. A term near an entity discloses it by their pointwise
+Entities are the values that the patterns find. A term in an entity's documents discloses it by their pointwise
 mutual information over the documents, as a share of the entity's information: log(N n_et / (n_e n_t)) /
 log(N / n_e). Terms above a threshold, seen with the entity in several different contexts, are removed or,
 below a second threshold, generalised. DataFrame and SQL functions only.
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramquarry.llm.common import cut_lineage
@@ -26,7 +26,9 @@ PATTERNS = {
 }
 #: A text without these has no match of the kind.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-BEFORE, AFTER = r"(?<=[^\p{L}])\p{L}{4,}+", r"\p{L}{4,}+(?=[^\p{L}])"
+#: Scripts without blanks between words; a term is a run of one of them, or of other letters, marks and digits.
+SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+TERM = rf"[{SPACELESS}]++|[\p{{L}}\p{{M}}\p{{N}}&&[^{SPACELESS}]]++"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
@@ -94,23 +96,58 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def disclosures(docs: DataFrame, spans: DataFrame, *, share: float, contexts: int, reach: int) -> DataFrame:
+def words_of(text: Column) -> Column:
+    """The text's distinct terms in lower case: runs of letters, marks and digits; where a script sets no blanks between words, all
+    pairs of neighbours in the run."""
+    low = F.lower(text)
+    runs = F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
+    return F.array_distinct(F.when(F.rlike(low, F.lit(f"[{SPACELESS}]")), F.flatten(F.transform(runs, lambda r: F.transform(_parts(r), lambda p: p["value"])))).otherwise(runs))
+
+
+def _parts(run: Column) -> Column:
+    """array<struct<at, value>>: the run itself, or its pairs where its script sets no blanks."""
+    whole = F.array(F.struct(F.lit(0).alias("at"), run.alias("value")))
+    pairs = F.transform(F.sequence(F.lit(0), F.length(run) - 2), lambda i: F.struct(i.alias("at"), F.substring(run, i + 1, F.lit(2)).alias("value")))
+    return F.when(F.rlike(run, F.lit(f"^[{SPACELESS}]")) & (F.length(run) > 2), pairs).otherwise(whole)
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans, so that every other character stays where it is."""
+
+    def step(acc: Column, s: Column) -> Column:
+        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        part = F.concat(F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), end - start))
+        return F.struct(end.alias("at"), F.array_append(acc["parts"], part).alias("parts"))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    return F.aggregate(spans, first, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def disclosures(docs: DataFrame, spans: DataFrame, occurrences: DataFrame, *, share: float, contexts: int) -> DataFrame:
     """(kind, entity, term, share) of the terms that disclose entities, over all documents.
 
-    docs has text; spans has row, text and found (base spans) of the documents with entities.
+    docs has text; spans has row, text and clean (the text without base spans) of the documents with entities;
+    occurrences is near() of them. A document gives an entity and each of its terms one context, the
+    surroundings of the entity's first place, and terms near other places of the entity those as well.
     """
-    occurrences = near(spans, reach)
-    entities = occurrences.groupBy("kind", "entity").agg(F.count_distinct("row").alias("n_e"))
-    together = occurrences.select("row", "kind", "entity", "context", F.explode("terms").alias("t"))
-    together = together.groupBy("kind", "entity", F.lower("t.value").alias("term")).agg(F.count_distinct("row").alias("n_et"), F.count_distinct("context").alias("contexts"))
-    together = cut_lineage(together.where(F.col("contexts") >= contexts).join(entities, ["kind", "entity"]))
-    wanted = together.select("term").distinct()
-    if wanted.isEmpty():
-        return together.select("kind", "entity", "term", F.lit(0.0).alias("share"))
-    words = docs.select(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}+"), F.lit(0))).alias("w"))
+    entities = occurrences.groupBy("kind", "entity").agg(F.count_distinct("row").alias("n_e"), F.count_distinct("context").alias("n_c"))
+    # no term has more contexts than its entity
+    entities = cut_lineage(entities.where(F.col("n_c") >= contexts).drop("n_c"))
+    known = entities.count()
+    if not known:
+        return entities.select("kind", "entity", F.lit("").alias("term"), F.lit(0.0).alias("share"))
+    seen = occurrences.join(F.broadcast(entities) if known <= 20_000 else entities, ["kind", "entity"])
+    whole = seen.groupBy("row", "kind", "entity").agg(F.min_by("context", "start").alias("context"))
+    whole = whole.join(spans.select("row", words_of(F.col("clean")).alias("terms")), "row").select("kind", "entity", "context", "terms", F.lit(1).alias("n"))
+    each = whole.unionByName(seen.select("kind", "entity", "context", "terms", F.lit(0).alias("n"))).select("kind", "entity", "context", "n", F.explode("terms").alias("term"))
+    together = each.groupBy("kind", "entity", "term").agg(F.sum("n").alias("n_et"), F.count_distinct("context").alias("contexts"))
+    together = together.where(F.col("contexts") >= contexts).join(F.broadcast(entities) if known <= 20_000 else entities, ["kind", "entity"])
     number = docs.count()
     # counted before the join: a row for each word and task is shuffled, however many terms are wanted
-    frequencies = words.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    words = docs.select(F.explode(words_of(F.col("text"))).alias("term"), F.lit(1).alias("k"))
+    # words of the entities themselves don't count
+    own = spans.select(F.explode(F.array_except(words_of(F.col("text")), words_of(F.col("clean")))).alias("term"), F.lit(-1).alias("k"))
+    frequencies = words.unionByName(own).groupBy("term").agg(F.sum("k").alias("n_t"))
     information = F.log(F.lit(float(number)) / F.col("n_e"))
     mutual = F.log(F.lit(float(number)) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_t")))
     # an entity of every document holds no information to disclose
@@ -119,37 +156,55 @@ def disclosures(docs: DataFrame, spans: DataFrame, *, share: float, contexts: in
 
 
 def near(spans: DataFrame, reach: int) -> DataFrame:
-    """(row, kind, entity, context, terms) of every base span: whole words of 4 letters or more within `reach`
-    code points on either side, in the text's places."""
-    each = spans.select("row", "text", F.explode("found").alias("s"))
+    """(row, kind, entity, start, context, terms) of every base span: its surroundings within `reach` code points
+    on either side, as a digest, and the distinct whole terms in them."""
+    each = spans.select("row", "text", "clean", F.explode("found").alias("s"))
     low = F.greatest(F.col("s.start") - reach, F.lit(0))
-    left = F.substring("text", low + 1, F.col("s.start") - low)
-    right = F.substring("text", F.col("s.end") + 1, F.lit(reach))
-    each = each.select("row", "s", low.alias("low"), left.alias("left"), right.alias("right"))
-    moved = lambda found, by: F.transform(found, lambda t: F.struct((t["start"] + by).alias("start"), (t["end"] + by).alias("end"), t["value"].alias("value")))
-    terms = F.concat(moved(found_in(F.col("left"), BEFORE), F.col("low")), moved(found_in(F.col("right"), AFTER), F.col("s.end")))
+    left = lambda c: F.substring(c, low + 1, F.col("s.start") - low)
+    right = lambda c: F.substring(c, F.col("s.end") + 1, F.lit(reach))
+    # a word that the reach cuts is no whole one
+    before = F.when(low > 0, F.regexp_replace(left("clean"), r"^[\p{L}\p{M}\p{N}]+", "")).otherwise(left("clean"))
+    after = F.when(F.length("clean") > F.col("s.end") + reach, F.regexp_replace(right("clean"), r"(?<![\p{L}\p{M}\p{N}])[\p{L}\p{M}\p{N}]++\z", "")).otherwise(right("clean"))
     entity = F.when(F.col("s.kind") == 0, F.lower("s.value")).otherwise(F.regexp_replace("s.value", r"[^0-9.]", ""))
-    return each.select("row", F.col("s.kind").alias("kind"), entity.alias("entity"), F.md5(F.concat("left", F.lit("\0"), "right")).alias("context"), terms.alias("terms"))
+    return each.select("row", F.col("s.kind").alias("kind"), entity.alias("entity"), F.col("s.start").alias("start"), F.xxhash64(left("text"), right("text")).alias("context"), words_of(F.concat(before, F.lit(" "), after)).alias("terms"))
+
+
+def places(texts: DataFrame) -> DataFrame:
+    """(row, term, start, end) of every term of (row, clean). Positions are running sums over rows, as arrays
+    that grow by a word each would take the square of a long text's words."""
+    clean = F.col("clean")
+    runs = texts.select("row", F.posexplode(F.arrays_zip(F.split(clean, TERM, -1).alias("gap"), F.regexp_extract_all(clean, F.lit(TERM), F.lit(0)).alias("run"))).alias("at", "p"))
+    runs = runs.select("row", "at", F.length("p.gap").alias("gap"), F.col("p.run").alias("run"))
+    upto = F.sum(F.col("gap") + F.coalesce(F.length("run"), F.lit(0))).over(Window.partitionBy("row").orderBy("at"))
+    runs = runs.withColumn("start", (upto - F.length("run")).cast("int")).where(F.col("run").isNotNull())
+    each = runs.select("row", "start", F.explode(_parts(F.col("run"))).alias("p"))
+    start = F.col("start") + F.col("p.at")
+    return each.select("row", F.lower("p.value").alias("term"), start.alias("start"), (start + F.length("p.value")).alias("end"))
 
 
 def find_personal(docs: DataFrame, *, share: float = 0.8, contexts: int = 3, reach: int = 60) -> DataFrame:
     """The table with the columns __found (base spans) and __terms (disclosing terms, value is the share).
 
-    Terms depend on the text and the corpus alone, so they are joined back by the text's digest. A null
-    text is empty and has no spans; repeated rows have equal spans; a table without entities, or an
-    empty one, has none; other columns pass unchanged.
+    Terms count, and are found, anywhere in the documents that hold their entity; `reach` only says which
+    surroundings of an entity are one context. Terms depend on the text and the corpus alone, so they are
+    joined back by the text's digest. A null text is empty and has no spans; repeated rows have equal
+    spans; a table without entities, or an empty one, has none; other columns pass unchanged.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumn("__found", base_spans(text))
     with_any = found.where(F.size("__found") > 0).select(F.monotonically_increasing_id().alias("row"), F.col("text"), F.col("__found").alias("found"))
-    with_any = cut_lineage(with_any)
-    telling = cut_lineage(disclosures(docs, with_any, share=share, contexts=contexts, reach=reach))
+    with_any = cut_lineage(with_any.withColumn("clean", masked(F.col("text"), F.col("found"))))
+    occurrences = cut_lineage(near(with_any, reach))
+    telling = cut_lineage(disclosures(docs, with_any, occurrences, share=share, contexts=contexts))
     spans = F.array().cast(f"array<{SPAN}>").alias("__terms")
     if telling.isEmpty():
         return found.withColumn("__terms", spans)
-    digests = with_any.select("row", F.md5("text").alias("__digest"))
-    hits = near(with_any, reach).select("row", "kind", "entity", F.explode("terms").alias("t")).withColumn("term", F.lower("t.value")).join(telling, ["kind", "entity", "term"])
-    hits = hits.join(digests, "row").groupBy("__digest", F.col("t.start").alias("start"), F.col("t.end").alias("end")).agg(F.max("share").alias("share"))
+    entities = telling.groupBy("kind", "entity").agg(F.collect_list(F.struct("term", "share")).alias("told"))
+    told = occurrences.select("row", "kind", "entity").distinct().join(entities, ["kind", "entity"]).select("row", F.explode("told").alias("t"))
+    told = cut_lineage(told.groupBy("row", F.col("t.term").alias("term")).agg(F.max("t.share").alias("share")))
+    digested = with_any.withColumn("__digest", F.md5("text"))
+    once = digested.join(told.select("row").distinct(), "row", "left_semi").groupBy("__digest").agg(F.min("row").alias("row"))
+    hits = places(with_any.join(once, "row").select("row", "clean")).join(told, ["row", "term"]).join(once, "row")
     hits = hits.groupBy("__digest").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", F.col("share").cast("string").alias("value")))).cast(f"array<{SPAN}>").alias("__terms"))
     hits = cut_lineage(hits)
     side = F.broadcast(hits) if hits.count() <= 2_000 else hits
