@@ -2,8 +2,8 @@
 
 A byte-pair vocabulary spends few tokens on language and many on random strings, so the characters per
 token of a candidate string separate the two. Known digests (hexadecimal strings of digest lengths,
-labelled digests), identifiers (UUIDs, dotted or slashed names, words joined by signs, numbers) are
-excluded before the test.
+labelled digests), identifiers (UUIDs, dotted or slashed names, words joined by signs, numbers, timestamps)
+are excluded before the test.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORD = re.compile(r"(?ai:passw|secret|token|api_?key)")
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Shorter random strings are as short as model names, versions and codes that are not words either.
+LEAST = 12
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 #: Lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 in hexadecimal.
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
@@ -37,6 +39,8 @@ DIGEST_LABEL = re.compile(r"(?ai:(?:md5|sha-?(?:1|224|256|384|512)|digest|checks
 #: Words joined by signs: identifiers, paths and options.
 IDENTIFIER = re.compile(r"[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*")
 NUMBER = re.compile(r"[0-9+/_=-]+")
+#: ISO 8601, or its part before the first colon.
+TIMESTAMP = re.compile(r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}T[0-9]{2}[0-9-]*(?:Z|\+[0-9]+)?")
 
 FOUND = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
@@ -69,9 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def is_random(text: str, start: int, end: int, vocabulary: Vocabulary, most: float) -> bool:
     """Whether the candidate text[start:end] is a random string by the token-efficiency test."""
     s = text[start:end].strip("=/+-_")
-    if len(s) < 20 or NUMBER.fullmatch(s) or UUID.search(s):
-        return False
-    if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+    if len(s) < LEAST or NUMBER.fullmatch(s) or TIMESTAMP.fullmatch(s):
         return False
     if HEX_ONLY.fullmatch(s) and len(s) in DIGEST_LENGTHS or DIGEST_LABEL.search(text, max(0, start - 24), start):
         return False
@@ -80,15 +82,25 @@ def is_random(text: str, start: int, end: int, vocabulary: Vocabulary, most: flo
     return vocabulary.characters_per_token(s) < most
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the strings to test: runs of key characters, and what stands around UUIDs in them."""
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        for u in UUID.finditer(text, m.start(), m.end()):
+            yield at, u.start()
+            at = u.end()
+        yield at, m.end()
+
+
 def scan(text: str, vocabulary: Vocabulary, most: float) -> list[tuple[int, int, int]]:
     """All spans of a text in order: the labelled ones and the random strings that none of them covers."""
     spans = sorted(base_spans(text))
     starts, ends = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
     more = []
-    for m in CANDIDATE.finditer(text):
-        before = bisect_left(starts, m.end())
-        if not (before and ends[before - 1] > m.start()) and is_random(text, m.start(), m.end(), vocabulary, most):
-            more.append((m.start(), 3, m.end()))
+    for start, end in candidates(text):
+        before = bisect_left(starts, end)
+        if not (before and ends[before - 1] > start) and is_random(text, start, end, vocabulary, most):
+            more.append((start, 3, end))
     return sorted(spans + more)
 
 

@@ -163,6 +163,20 @@ def test_secrets(spark, docs, texts):
     assert out[10_004].n_random == 0
 
 
+def test_secrets_without_digits_short_or_beside_identifiers():
+    vocabulary, rng = secret_scan.Vocabulary(*TIK), random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    uuid = "f47ac10b-58cc-4372-a567-0e02b2c3d479"
+    for n in (12, 16, 19, 20, 40):
+        for alphabet in (letters, letters + "0123456789"):
+            keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(200)]
+            assert sum(secret_scan.scan(f"here {k} ends", vocabulary, 2.0) == [(5, 3, 5 + n)] for k in keys) >= 195
+    key = "kJ8x2Qv9Lz4Tn7Wp3Rb6Yc1M"
+    assert secret_scan.scan(f"{uuid}-{key} {uuid} {key}/{uuid}", vocabulary, 2.0) == [(36, 3, 61), (99, 3, 124)]
+    for s in ("internationalization", "someLongCamelCaseName", "application/octet-stream", "getElementsByTagName", "2026-11-26T11-55-00", "2026-11-26T11:55:00Z", uuid):
+        assert secret_scan.scan(f"see {s} there", vocabulary, 2.0) == []
+
+
 def test_media(docs, texts):
     for r in gif.payload_media(docs).collect():
         data, n = gif.payload(texts[r.doc_id] or "")
