@@ -7,7 +7,7 @@ the quotes. DataFrame and SQL functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramquarry.llm.common import cut_lineage
@@ -16,8 +16,10 @@ from gramquarry.llm.common import cut_lineage
 MARKS = r"^(?:[\x20\x09]*>)++[\x20\x09]?"
 #: The line that introduces a quote in mail and forum clients.
 ATTRIBUTION = r"(?i)^.{0,200}(?:wrote|writes|said|schrieb|escribió|a écrit)\x20?:[\x20\x09]*$"
-#: Passages shorter than this say too little to link.
+#: Passages shorter than this are often said again, so they link to the nearest earlier turn, longer ones to the earliest.
 LEAST = 12
+#: Where a sentence ends; full-width marks need no blank after them.
+SENTENCE = r"(?<=[.!?…][)\"'»”]{0,3})\s+|(?<=[。！？])(?![。！？」』”])\s*|\n\s*\n"
 
 
 def depth(line: Column) -> Column:
@@ -65,18 +67,30 @@ def passages(text: Column) -> Column:
 
 
 def _keys(texts: Column) -> Column:
-    """Digests of the normalised texts that are long enough, each once."""
-    good = F.filter(F.transform(texts, normalised), lambda t: F.length(t) >= LEAST)
-    return F.array_distinct(F.transform(good, lambda t: F.md5(t)))
+    """Keys of the normalised texts, each once: digests, or, after a sign that no digest has, the short texts themselves."""
+    good = F.filter(F.transform(texts, normalised), lambda t: t != "")
+    return F.array_distinct(F.transform(good, lambda t: F.when(F.length(t) < LEAST, F.concat(F.lit("="), t)).otherwise(F.md5(t))))
+
+
+def _short(key: Column) -> Column:
+    return F.startswith(key, F.lit("="))
+
+
+def _ranked(keys: Column, rank: int) -> Column:
+    """array<struct<rank, key>>: the whole passage, then lines, then sentences, then short lines and short sentences."""
+    return F.transform(keys, lambda k: F.struct(F.when(_short(k) & F.lit(rank > 0), rank + 2).otherwise(rank).alias("rank"), k.alias("key")))
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, body, n_quotes, quote_depth, n_linked, reply_to, thread) for every row of
     (conv_id, turn, role, text).
 
-    A quoted passage links to the earliest earlier turn of its conversation whose own text, a paragraph of
-    it, or a line of it is the passage once both are normalised; where the whole passage is nowhere, its
-    lines are tried. reply_to is the latest turn that the message's outermost quotes link to; thread is the
+    A quoted passage links to the earliest earlier turn of its conversation whose own text, a paragraph, a
+    line or a sentence of it is the passage once both are normalised; where the whole passage is nowhere, its
+    lines are tried, then its sentences, lines joined. Texts under LEAST characters link to the nearest earlier turn
+    that has them instead, and as lines or sentences only where no longer one is found. Among lines
+    or sentences of one passage the earliest turn counts. Parts of a sentence, and lines without sentence ends that were
+    wrapped anew, link only as a whole text or paragraph. reply_to is the latest turn that the message's outermost quotes link to; thread is the
     first turn of the chain of replies (the message's own where it replies to nothing). Ordering by
     (conv_id, thread, turn) gives each conversation in reply order.
 
@@ -87,16 +101,25 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     quoting = rows.where(F.contains("text", F.lit(">")) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     quotes = quoting.select("conv_id", "turn", passages(F.col("text")).alias("p")).distinct().select("conv_id", "turn", F.posexplode("p").alias("at", "p"))
-    quotes = cut_lineage(quotes.select("conv_id", "turn", "at", "p.depth", _keys(F.array("p.text")).alias("whole"), _keys(_lines(F.col("p.text"))).alias("lines")))
-    tried = quotes.select("conv_id", "turn", "at", "depth", F.explode(F.concat(F.transform("whole", lambda k: F.struct(F.lit(0).alias("rank"), k.alias("key"))), F.transform("lines", lambda k: F.struct(F.lit(1).alias("rank"), k.alias("key"))))).alias("k"))
+    quotes = cut_lineage(quotes.select("conv_id", "turn", "at", "p.depth", _keys(F.array("p.text")).alias("whole"), _keys(_lines(F.col("p.text"))).alias("lines"), _keys(F.split("p.text", SENTENCE)).alias("sentences")))
+    ranked = [_ranked(F.col(name), rank) for rank, name in enumerate(("whole", "lines", "sentences"))]
+    tried = quotes.select("conv_id", "turn", "at", "depth", F.explode(F.concat(*ranked)).alias("k"))
     tried = tried.select("conv_id", "turn", "at", "depth", "k.rank", "k.key")
 
     # what was said first, for the keys that some quote of the conversation has
     wanted = tried.select("conv_id", "key").distinct()
     talked = rows.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi").where("turn is not null").select("conv_id", "turn", body(F.col("text")).alias("own"))
-    said = talked.select("conv_id", "turn", F.explode(_keys(F.concat(F.array("own"), F.split("own", r"\n\s*\n"), F.split("own", "\n")))).alias("key"))
-    first = said.join(wanted, ["conv_id", "key"], "left_semi").groupBy("conv_id", "key").agg(F.min("turn").alias("origin"))
+    said = talked.select("conv_id", "turn", F.explode(_keys(F.concat(F.array("own"), F.split("own", r"\n\s*\n"), F.split("own", "\n"), F.split("own", SENTENCE)))).alias("key"))
+    said = said.join(wanted, ["conv_id", "key"], "left_semi")
+    first = said.where(~_short(F.col("key"))).groupBy("conv_id", "key").agg(F.min("turn").alias("origin"))
     found = tried.join(first, ["conv_id", "key"]).where("origin < turn")
+    # the nearest of short ones: sayings and quotes in one order, so no quote meets every saying
+    quoted = tried.where(_short(F.col("key")))
+    sayings = said.where(_short(F.col("key"))).withColumn("origin", F.col("turn"))
+    both = sayings.unionByName(quoted.select("conv_id", "turn", "key").distinct().withColumn("origin", F.lit(None).cast("long")))
+    before = Window.partitionBy("conv_id", "key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    nearest = both.select("conv_id", "turn", "key", F.max("origin").over(before).alias("last")).groupBy("conv_id", "turn", "key").agg(F.max("last").alias("origin")).where("origin is not null")
+    found = found.unionByName(quoted.join(nearest, ["conv_id", "turn", "key"]))
     best = found.groupBy("conv_id", "turn", "at", "depth").agg(F.min(F.struct("rank", "origin"))["origin"].alias("origin"))
     by_message = best.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.max_by("origin", F.struct(-F.col("depth"), "origin")).alias("reply_to"))
     replies = cut_lineage(by_message)

@@ -352,3 +352,19 @@ def test_replies(spark):
         (1, 0): (None, 0, 0, 0, 0), (1, 1): (0, 0, 1, 1, 1), (1, 2): (1, 0, 2, 2, 2), (1, 3): (2, 0, 1, 1, 1), (1, 4): (None, 4, 1, 1, 0), (1, 5): (0, 0, 1, 1, 1), (2, 0): (None, 0, 1, 1, 0),
     }
     assert out[1, 2].body == "Good to hear that now."
+
+
+def test_short_quotes_and_sentences(spark):
+    rows = [
+        (1, 0, "u", "Shall we start? I have an hour. The room on the third floor is free\nuntil noon. Bring your notes please."),
+        (1, 1, "a", "> Shall we start?\nyes please"),
+        (1, 2, "u", "> yes please\nok thanks"),
+        (1, 3, "a", "> The room on the third floor\n> is free until noon.\nyes please"),
+        (1, 4, "u", "> Yes, please!\n你好吗？我很好。明天见。"),
+        (1, 5, "a", "> 我很好。\n再见"),
+        (1, 6, "u", "> 再见\n> I have an hour.\nbye"),
+        (1, 7, "u", "> no thanks\nbye"),
+        (2, 0, "u", "> yes please"),
+    ]
+    out = {(r.conv_id, r.turn): (r.reply_to, r.n_linked) for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert out == {(1, 0): (None, 0), (1, 1): (0, 1), (1, 2): (1, 1), (1, 3): (0, 1), (1, 4): (3, 1), (1, 5): (4, 1), (1, 6): (0, 1), (1, 7): (None, 0), (2, 0): (None, 0)}
