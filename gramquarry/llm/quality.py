@@ -135,12 +135,22 @@ def train(rows: list[Row], passes: int = 60, rate: float = 4.0, decay: float = 1
     return weights, float(bias)
 
 
+def fitting(rows: list[Row], room: int) -> list[Row]:
+    """Rows in their order, those skipped that no longer fit in the room for characters; the shortest if none fits."""
+    out = []
+    for r in rows:
+        if r.n <= room:
+            out.append(r)
+            room -= r.n
+    return out or sorted(rows, key=lambda r: (r.n, r.h))[:1]
+
+
 def classify(docs: DataFrame, *, sample_rows: int = 3000, sample_chars: int = 4_000_000) -> DataFrame:
     """The table with __score, the scorer's probability that the row's text is good.
 
     At most `sample_rows` documents train the scorer, half of them of either posterior label where there are so
     many, chosen by a hash of the text so that reruns agree, and at most `sample_chars` characters of
-    them; everything else runs over all documents. The only tables on the driver are the sample and the
+    them, half of either label (where no text of a label fits, the shortest that was chosen); everything else runs over all documents. The only tables on the driver are the sample and the
     counts of vote patterns, at most 3^9.
 
     Null, empty and blank texts get no votes and score by the bias alone. Repeated rows score alike. An
@@ -159,17 +169,11 @@ def classify(docs: DataFrame, *, sample_rows: int = 3000, sample_chars: int = 4_
     # the sample: hashes of the chosen texts, then the texts themselves
     table = docs.sparkSession.createDataFrame([(p, float(q)) for p, q in posterior.items()], "pattern string, posterior double")
     known = voted.where("n > 0").join(F.broadcast(table), "pattern")
-    chosen = []
+    picked = []
     for good in (True, False):
         some = known.where(F.col("posterior") >= 0.9 if good else F.col("posterior") <= 0.1).select("h", "n", "posterior").distinct()
-        chosen += some.orderBy(F.xxhash64("h"), "h").limit(sample_rows // 2).collect()  # sample_rows at most
-    chosen, room = sorted(chosen, key=lambda r: (r.n, r.h)), sample_chars
-    picked = []
-    for r in chosen:
-        room -= r.n
-        if room < 0:
-            break
-        picked.append((r.h, r.posterior))
+        chosen = some.orderBy(F.xxhash64("h"), "h").limit(sample_rows // 2).collect()  # sample_rows at most
+        picked += [(r.h, r.posterior) for r in fitting(chosen, sample_chars // 2)]
     wanted = docs.sparkSession.createDataFrame(picked, "h long, posterior double").dropDuplicates(["h"])
     rows = docs.select("text", order.alias("h")).join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("text").alias("text"), F.first("posterior").alias("posterior")).orderBy("h").collect()
     weights, bias = train(rows)

@@ -331,6 +331,19 @@ def test_quality(spark, sf):
     assert sum(not out[i] for i in bad) >= 0.9 * len(bad)
 
 
+def test_quality_learns_from_long_junk(spark):
+    """Short good texts with more characters than the sample holds, and junk longer than any of them."""
+    rng = random.Random(8)
+    stock = "river house summer window garden letter morning people walk under bright little water mountain teacher found quiet evening".split()
+    sentence = lambda: " ".join(rng.choices(stock, k=9)).capitalize() + "."
+    junk = lambda n: "\n".join(f"| {rng.choice('$#%&*')}{rng.randrange(999)} | BUY {rng.choice('ABC')}!! | == |" for _ in range(n))
+    rows = [(i, " ".join(sentence() for _ in range(15))) for i in range(300)] + [(1000 + i, junk(1000)) for i in range(20)]
+    for chars in (200_000, 20_000):  # in the second, no junk fits
+        out = {r.doc_id: r.kept for r in quality.quality_scores(spark.createDataFrame(rows, "doc_id long, text string"), sample_chars=chars).collect()}
+        assert all(out[i] for i in range(300))
+        assert not any(out[i] for i in range(1000, 1020))
+
+
 def test_estimate_of_nothing():
     prior, table, posterior = quality.estimate({})
     assert 0 < prior < 1 and np.isfinite(table).all() and posterior == {}
