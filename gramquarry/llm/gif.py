@@ -336,9 +336,9 @@ def describe(text: str) -> tuple:
     stored = encode(data)
     width, height, frames = parse(stored)
     back = b"".join(f.samples.tobytes() for f in frames)
-    counts = np.zeros(8, dtype=np.int64)
-    for f in frames:  # opaque grey frames: a frame's own pixels have the colours that its palette gives
-        counts += np.bincount(f.palette[f.samples.reshape(-1), 0].astype(np.int64) * 8 // 256, minlength=8)
+    counts = np.zeros(24, dtype=np.int64)
+    for canvas in compose(width, height, frames):  # one at a time, as gif_frames does
+        counts += histogram(canvas)
     feature = f"{width}x{height};" + ",".join(map(str, counts.tolist()))
     return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), len(frames), sum(f.delay_ms for f in frames), feature
 

@@ -185,6 +185,16 @@ def test_media(docs, texts):
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
 
 
+def test_media_feature_is_of_the_composed_frames(spark):
+    text = "some text of several frames, the last of them short. " * (3 * gif.WIDTH * gif.ROWS // 100)
+    stored = gif.encode(gif.payload(text)[0])
+    frames = gif.gif_frames(spark.createDataFrame([("a", bytearray(stored))], "media_id string, content binary")).collect()
+    assert len(frames) > 1
+    want = np.sum([r.histogram for r in frames], axis=0).tolist()
+    row = gif.payload_media(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.feature == f"{frames[0].width}x{frames[0].height};" + ",".join(map(str, want))
+
+
 def slow_lzw(data, size):
     """Code by code, as the format describes it."""
     clear, out, at, width = 1 << size, bytearray(), 0, size + 1
