@@ -8,6 +8,10 @@ from gramquarry.llm import licenses
 from gramquarry.llm.common import table
 
 
+#: The tokenizer file's special tokens, which the ranks file leaves out.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -67,7 +71,7 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from gramquarry.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokens=2048, end_id=1)
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokens=2048, end_id=1, special=SPECIAL)
 
 
 def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

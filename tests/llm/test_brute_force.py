@@ -17,6 +17,7 @@ from gramquarry.llm import embedding_dedup, gif, minhash, mixing, packing, pii,
 from gramquarry.llm.components import connected_components
 
 TIK = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+P_SPECIAL = {"<|endoftext|>": 50256}
 
 
 @pytest.fixture(scope="module")
@@ -254,24 +255,78 @@ def test_frames(spark):
     assert gif.parse(stored)[2][0].samples.reshape(-1).tolist() == list(range(8))
 
 
-def test_packing(docs, texts):
+def check_places(out, capacity=2048):
+    padding = 0
+    for _, g in out.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
+        assert g.length.sum() <= capacity
+        padding += capacity - g.length.sum()
+    return padding
+
+
+def test_packing(spark, texts):
+    """Ids are those of the tokenizer file as it is, special tokens included."""
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    out = packing.pack_documents(docs, *TIK).toPandas()
+    end = "<|endoftext|>"
+    more = [f"a {end} b", end, f"{end}{end} x", f"one{end}two three", f" {end}  {end} ", "<|endoftext", f"tab\t{end}\nline  two", "x " * 3000 + end + " y" * 3000]
+    known = texts | {10_000 + i: t for i, t in enumerate(more)}
+    df = spark.createDataFrame(list(known.items()), "doc_id long, text string")
+    out = packing.pack_documents(df, *TIK, special=P_SPECIAL).toPandas()
     by_doc = {i: g.sort_values("start") for i, g in out.groupby("doc_id")}
-    assert set(by_doc) == set(texts)
+    assert set(by_doc) == set(known)
     for i, g in by_doc.items():
-        ids = np.array([*tokenizer.encode(texts[i] or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        ids = np.array([*tokenizer.encode(known[i] or "", add_special_tokens=False).ids, 1], dtype="<u4")
         assert (g.doc_tokens == len(ids)).all()
         assert g.start.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() == len(ids)
         assert g.ids_crc32.tolist() == [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(g.start, g.length, strict=True)]
-    padding = 0
-    for _, g in out.groupby("sequence_id"):
-        g = g.sort_values("offset")
-        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
-        assert g.length.sum() <= 2048
-        padding += 2048 - g.length.sum()
-    assert padding <= 2048 + 0.02 * out.length.sum()
+    assert check_places(out) <= 2048 + 0.02 * out.length.sum()
+
+
+def test_packing_of_instructions(spark, sf):
+    """Prompts bear no loss: all three limits hold, each binds somewhere, and every id is in one piece."""
+    turns = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{sf}/conversations.parquet' ORDER BY conv_id, turn").fetchall()
+    rows = [(100 * c + k, f"{a}\n{b}", len(a) + 1) for (c, k, role, a), (c2, _, role2, b) in zip(turns[:-1], turns[1:], strict=True) if c == c2 and role == "user"]
+    rows += [(10**6, "w " * 900, 0), (10**6 + 1, "w " * 900, 1800), (10**6 + 2, None, 3), (10**6 + 3, "all prompt", 99), (10**6 + 4, "no prompt", None), *((10**7 + i, "hi\nyo", 3) for i in range(300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, prompt int")
+    limits = {"tokens": 512, "segments": 12, "loss": 256}
+    out = packing.pack_documents(df, *TIK, prompt_column="prompt", **limits).toPandas()
+    encode = Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode
+    for i, text, prompt in rows:
+        text, prompt = text or "", prompt or 0
+        head = encode(text[:prompt], add_special_tokens=False).ids
+        ids = np.array([*head, *encode(text[prompt:], add_special_tokens=False).ids, 1], dtype="<u4")
+        bears = np.arange(len(ids)) >= max(1, len(head)) if prompt else np.ones(len(ids), dtype=bool)
+        g = out[out.doc_id == i].sort_values("start")
+        assert g.start.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() == len(ids)
+        for r in g.itertuples():
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+            assert r.loss == bears[r.start : r.start + r.length].sum()
+            # as long as the limits allow: one id more would break one
+            assert r.start + r.length == len(ids) or r.length == 512 or r.loss == 256 and bears[r.start + r.length]
+    check_places(out, 512)
+    held = out.groupby("sequence_id").agg(tokens=("length", "sum"), segments=("length", "size"), loss=("loss", "sum"))
+    assert (held.max() <= [512, 12, 256]).all()
+    assert (held.segments == 12).any() and (held.loss == 256).any() and (held.tokens > 480).any()
+
+
+def test_packing_follows_the_heuristic():
+    """Replayed item by item: each is one of the fitting items of the largest dot product with what its sequence has
+    left, and a sequence ends only when nothing fits."""
+    rng = np.random.default_rng(3)
+    for capacity in ([100, 4, 60], [64, 64, 64], [50, 2, 50]):
+        demand = np.column_stack([n := rng.integers(1, 50, 120), np.ones(120, dtype=np.int64), (n * rng.uniform(0, 1, 120)).astype(np.int64)])
+        bins, places = packing.fill(demand, np.array(capacity))
+        left, room, number = set(range(120)), list(capacity), 0
+        for i in np.lexsort((demand[:, 0], places, bins)).tolist():
+            fits = [k for k in left if all(d <= r for d, r in zip(demand[k], room, strict=True))]
+            if bins[i] != number:
+                assert not fits
+                number, room, fits = number + 1, list(capacity), left
+            score = lambda k: sum(d / c * r / c for d, r, c in zip(demand[k], room, capacity, strict=True))
+            assert bins[i] == number and i in fits and score(i) >= max(map(score, fits)) - 1e-12
+            room = [r - d for r, d in zip(room, demand[i], strict=True)]
+            left.remove(i)
 
 
 def test_packing_limits():
