@@ -11,9 +11,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +36,8 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 DIGEST_LABEL = re.compile(r"(?ai:(?:md5|sha-?(?:1|224|256|384|512)|digest|checksum|integrity|fingerprint)[\"']?[\x20:=-]*[\"']?)\Z")
+#: The same label as the beginning of the string itself.
+DIGEST_INSIDE = re.compile(r"(?ai:md5|sha-?(?:1|224|256|384|512)|digest|checksum|integrity|fingerprint)[+/_=-]")
 #: Words joined by signs: identifiers, paths and options.
 IDENTIFIER = re.compile(r"[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*")
 NUMBER = re.compile(r"[0-9+/_=-]+")
@@ -70,37 +72,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def is_random(text: str, start: int, end: int, vocabulary: Vocabulary, most: float) -> bool:
-    """Whether the candidate text[start:end] is a random string by the token-efficiency test."""
+def is_random(text: str, start: int, end: int, run: int, vocabulary: Vocabulary, most: float) -> bool:
+    """Whether text[start:end], a part of the run of key characters that begins at `run`, is a random string by
+    the token-efficiency test."""
     s = text[start:end].strip("=/+-_")
-    if len(s) < LEAST or NUMBER.fullmatch(s) or TIMESTAMP.fullmatch(s):
+    if len(s) < LEAST or NUMBER.fullmatch(s) or TIMESTAMP.fullmatch(s) or IDENTIFIER.fullmatch(s):
         return False
-    if HEX_ONLY.fullmatch(s) and len(s) in DIGEST_LENGTHS or DIGEST_LABEL.search(text, max(0, start - 24), start):
-        return False
-    if IDENTIFIER.fullmatch(s):
+    if HEX_ONLY.fullmatch(s) and len(s) in DIGEST_LENGTHS or DIGEST_LABEL.search(text, max(0, run - 24), run) or DIGEST_INSIDE.match(text, run):
         return False
     return vocabulary.characters_per_token(s) < most
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the strings to test: runs of key characters, and what stands around UUIDs in them."""
+def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, start of the run) of the strings to test: what taken spans (sorted) and UUIDs leave of the runs of key characters."""
+    ends = list(accumulate((e for _, e in taken), max))
     for m in CANDIDATE.finditer(text):
-        at = m.start()
-        for u in UUID.finditer(text, m.start(), m.end()):
-            yield at, u.start()
-            at = u.end()
-        yield at, m.end()
+        at, k = m.start(), bisect_right(ends, m.start())  # spans that end before the run don't matter
+        gone = sorted([*((u.start(), u.end()) for u in UUID.finditer(text, m.start(), m.end())), *takewhile(lambda s: s[0] < m.end(), islice(taken, k, None))])
+        for start, end in gone:
+            if start > at:
+                yield at, start, m.start()
+            at = max(at, end)
+        if at < m.end():
+            yield at, m.end(), m.start()
 
 
 def scan(text: str, vocabulary: Vocabulary, most: float) -> list[tuple[int, int, int]]:
-    """All spans of a text in order: the labelled ones and the random strings that none of them covers."""
+    """All spans of a text in order: the labelled ones, and the random strings in what they leave over."""
     spans = sorted(base_spans(text))
-    starts, ends = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
-    more = []
-    for start, end in candidates(text):
-        before = bisect_left(starts, end)
-        if not (before and ends[before - 1] > start) and is_random(text, start, end, vocabulary, most):
-            more.append((start, 3, end))
+    more = [(start, 3, end) for start, end, run in candidates(text, [(s, e) for s, _, e in spans]) if is_random(text, start, end, run, vocabulary, most)]
     return sorted(spans + more)
 
 

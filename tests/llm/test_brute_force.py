@@ -178,6 +178,76 @@ def test_secrets_without_digits_short_or_beside_identifiers():
         assert secret_scan.scan(f"see {s} there", vocabulary, 2.0) == []
 
 
+def test_random_strings_by_brute_force(spark):
+    """Texts of keys, identifiers, digests, UUIDs and labelled secrets run together, against character-by-character code
+    that takes tokens from the tokenizer file."""
+    rng, tokens = random.Random(11), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, a=letters: "".join(rng.choices(a, k=n))
+    hexes = lambda n: key(n, "0123456789abcdef")
+    uuid = lambda: "-".join(map(hexes, (8, 4, 4, 4, 12)))
+    makers = [lambda: key(rng.randrange(8, 50)), lambda: key(22) + hexes(22), lambda: hexes(rng.choice([15, 16, 31, 32, 64])), lambda: hexes(40).upper(), uuid, lambda: f"{key(14)}-{uuid()}/{key(15)}", lambda: "password=" + key(rng.randrange(8, 20)), lambda: "token: " + key(20) + "@" + key(16), lambda: "AKIA" + key(16).upper(),
+              lambda: "sha256:" + key(44) + "=", lambda: "sha512-" + key(30), lambda: "md5 = " + hexes(32).upper(), lambda: "someCamelCaseIdentifierName", lambda: "some-dashed_name/with_parts-2", lambda: "2026-11-26T11:55:00Z", lambda: "1234567890123456", lambda: key(12).lower(), lambda: "international", lambda: "checksum of " + key(20)]
+    rows = [(i, "".join(rng.choice(makers)() + rng.choice([" ", " ", ", ", "\n", ".", "\u00e9", "+", "/"]) for _ in range(rng.randrange(1, 12)))) for i in range(400)]
+    chars = set(letters + "+/_=-")
+    labels = ("md5", "digest", "checksum", "integrity", "fingerprint", *(f"sha{d}{n}" for d in ("", "-") for n in (1, 224, 256, 384, 512)))
+
+    def is_uuid(x):
+        return len(x) == 36 and all((c == "-") == (k in (8, 13, 18, 23)) and (c == "-" or c in "0123456789abcdefABCDEF") for k, c in enumerate(x))
+
+    def labelled(t, run):
+        before = t[max(0, run - 24) : run]
+        before = before[:-1] if before[-1:] in "\"'" else before
+        while before and before[-1] in " :=-":
+            before = before[:-1]
+        before = before[:-1] if before[-1:] in "\"'" else before
+        inside = t[run:].lower()
+        return before.lower().endswith(labels) or any(inside.startswith(x) and inside[len(x) : len(x) + 1] in "+/_=-" for x in labels if len(inside) > len(x))
+
+    def plain(x):  # words joined by signs
+        parts = [p for p in re.split(r"[+/_=-]+", x) if p]
+        return all(p.isalpha() and (p[1:].islower() or p.islower() or p.isupper()) or p.isdigit() and len(p) < 5 for p in parts)
+
+    def random_spans(t, base):
+        gone = [False] * len(t)
+        for s, _, e in base:
+            gone[s:e] = [True] * (e - s)
+        out, at = [], 0
+        while at < len(t):
+            end = at
+            while end < len(t) and t[end] in chars:
+                end += 1
+            if end - at >= 12:
+                free = [not g for g in gone[at:end]]
+                k = at
+                while k < end:
+                    if is_uuid(t[k : k + 36]) and k + 36 <= end:
+                        free[k - at : k - at + 36] = [False] * 36
+                        k += 35
+                    k += 1
+                k = at
+                while k < end:
+                    e = k
+                    while e < end and free[e - at]:
+                        e += 1
+                    x = t[k:e].strip("=/+-_")
+                    date = re.fullmatch(r"\d{4}-?\d\d-?\d\dT\d\d[\d-]*(Z|\+\d+)?", x)
+                    digest = len(x) in (32, 40, 56, 64, 96, 128) and (set(x) <= set("0123456789abcdef") or set(x) <= set("0123456789ABCDEF"))
+                    if len(x) >= 12 and not set(x) <= set("0123456789+/_=-") and not date and not digest and not plain(x) and not labelled(t, at):
+                        if len(x) < 2.0 * len(tokens.encode(x, add_special_tokens=False).ids):
+                            out.append((k, 3, e))
+                    k = e + 1
+            at = end + 1
+        return out
+
+    out = {r.doc_id: r for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), *TIK).collect()}
+    for i, t in rows:
+        base = secret_scan.base_spans(t)  # held to the contract's patterns above
+        want = secret_scan.joined(sorted(base + random_spans(t, base)))
+        assert out[i].spans == want, t
+    assert sum(r.n_random for r in out.values()) > 500
+
+
 def test_media(docs, texts):
     for r in gif.payload_media(docs).collect():
         data, n = gif.payload(texts[r.doc_id] or "")
