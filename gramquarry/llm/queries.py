@@ -39,9 +39,9 @@ def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gramquarry.llm.quotes import link_quotes
+    from gramquarry.llm.quotes import conversations
 
-    return link_quotes(table(spark, sf_dir, "conversations"))
+    return conversations(table(spark, sf_dir, "conversations"))
 
 
 def op5_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

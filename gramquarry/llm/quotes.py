@@ -132,9 +132,41 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         chain = jumped.drop("moved")
         if jumped.where("moved").isEmpty():
             break
+    # only messages that quote can have links, so the others need no join
     links = replies.join(chain, ["conv_id", "turn"])
+    marked = F.contains("text", F.lit(">"))
     counts = passages(F.col("text"))
-    out = rows.select("conv_id", "turn", "role", body(F.col("text")).alias("body"), F.size(counts).cast("long").alias("n_quotes"), F.coalesce(F.array_max(F.transform(counts, lambda p: p["depth"])), F.lit(0)).alias("quote_depth"))
-    return out.join(links, ["conv_id", "turn"], "left").select(
+    own = body(F.col("text")).alias("body")
+    plain = rows.where(~marked).select("conv_id", "turn", "role", own, F.lit(0).cast("long").alias("n_quotes"), F.lit(0).alias("quote_depth"), F.lit(0).cast("long").alias("n_linked"), F.lit(None).cast("long").alias("reply_to"), F.col("turn").alias("thread"))
+    out = rows.where(marked).select("conv_id", "turn", "role", own, F.size(counts).cast("long").alias("n_quotes"), F.coalesce(F.array_max(F.transform(counts, lambda p: p["depth"])), F.lit(0)).alias("quote_depth"))
+    out = out.join(links, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", "body", "n_quotes", "quote_depth", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "reply_to", F.coalesce("thread", "turn").alias("thread")
     )
+    return plain.unionByName(out)
+
+
+def conversations(messages: DataFrame, *, block: int = 256) -> DataFrame:
+    """(conv_id, first, n_messages, n_quotes, n_linked, messages): every conversation of (conv_id, turn, role, text) in
+    reply order and without the quotes.
+
+    messages is array<struct<position, turn, role, reply_to, thread, body>>, ordered by thread, then turn (null last),
+    role and body; position counts from 0 in the conversation. A row holds at most `block` messages, so a longer
+    conversation has several rows, in the order of first, the position of their first message; where a row ends may
+    depend on the partitioning, the messages and their positions do not. Rows with a null conv_id are one
+    conversation; repeated rows are messages each; an empty table gives no rows; other columns are ignored.
+    """
+    order = ["thread", "turn", "role", "body"]
+    by = [F.col(c).asc_nulls_last() for c in order]
+    # ranges of the order, not conversations, are dealt out, so a conversation of any length is no single task
+    dealt = link_quotes(messages).repartitionByRange("conv_id", *by)
+    dealt = cut_lineage(dealt.withColumn("part", F.spark_partition_id()))
+    held = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("held"))
+    base = held.select("conv_id", "part", (F.sum("held").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("held")).alias("base"))
+    inside = dealt.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(*by)) - 1)
+    message = F.struct(F.col("k").alias("k"), "turn", "role", "reply_to", "thread", "body")
+    blocks = inside.groupBy("conv_id", "part", F.floor(F.col("k") / block).alias("b")).agg(F.count("*").alias("n_messages"), F.sum("n_quotes").alias("n_quotes"), F.sum("n_linked").alias("n_linked"), F.array_sort(F.collect_list(message)).alias("m"))
+    base = base.select(F.col("conv_id").alias("base_id"), F.col("part").alias("base_part"), "base")
+    placed = blocks.join(base, (F.col("part") == F.col("base_part")) & F.col("conv_id").eqNullSafe(F.col("base_id")))
+    at = lambda x: (x["k"] + F.col("base")).cast("long")
+    listed = F.transform("m", lambda x: F.struct(at(x).alias("position"), x["turn"].alias("turn"), x["role"].alias("role"), x["reply_to"].alias("reply_to"), x["thread"].alias("thread"), x["body"].alias("body")))
+    return placed.select("conv_id", (F.col("base") + F.col("b") * block).alias("first"), "n_messages", "n_quotes", "n_linked", listed.alias("messages"))

@@ -516,3 +516,95 @@ def test_short_quotes_and_sentences(spark):
     ]
     out = {(r.conv_id, r.turn): (r.reply_to, r.n_linked) for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert out == {(1, 0): (None, 0), (1, 1): (0, 1), (1, 2): (1, 1), (1, 3): (0, 1), (1, 4): (3, 1), (1, 5): (4, 1), (1, 6): (0, 1), (1, 7): (None, 0), (2, 0): (None, 0)}
+
+
+def slow_replies(rows):
+    """(linked passages, reply_to, thread, body) of each (conv_id, turn), line by line, as the docstring of link_quotes says."""
+    norm = lambda t: " ".join("".join(c.lower() if c.isalnum() else " " for c in t).split())
+    marks = re.compile(r"(?:[\x20\x09]*>)+[\x20\x09]?")
+
+    def level(line):
+        m = marks.match(line)
+        return (m[0].count(">"), line[m.end() :]) if m else (0, line)
+
+    def parse(text):
+        lines = [level(x) for x in text.split("\n")]
+        own = [x for k, (d, x) in enumerate(lines) if d == 0 and not (x.rstrip().endswith("wrote:") and k + 1 < len(lines) and lines[k + 1][0])]
+        quotes = []
+        for k, (d, x) in enumerate(lines):
+            if d and k and lines[k - 1][0] == d:
+                quotes[-1][1].append(x)
+            elif d:
+                quotes.append((d, [x]))
+        return "\n".join(own).strip(), [(d, "\n".join(x)) for d, x in quotes]
+
+    sentences = lambda t: re.split(r"(?<=[.!?])\s+|\n\s*\n", t)
+    parsed, out = {(c, k): parse(t) for c, k, _, t in rows}, {}
+    said = defaultdict(set)  # (conversation, normalised) -> turns
+    for (c, k), (own, _) in parsed.items():
+        for t in [own, *re.split(r"\n\s*\n", own), *own.split("\n"), *sentences(own)]:
+            said[c, norm(t)].add(k)
+    for (c, k), (own, quotes) in parsed.items():
+        linked = []
+        for d, q in quotes:
+            long, short = [], []
+            for rank, parts in enumerate(([q], q.split("\n"), sentences(q))):
+                for t in map(norm, parts):
+                    turns = [x for x in said.get((c, t), ()) if x < k] if t else []
+                    if turns and len(t) >= 12:
+                        long.append((rank, min(turns)))
+                    elif turns:
+                        short.append((rank + 2 * (rank > 0), max(turns)))
+            if long or short:
+                linked.append((d, min(long + short)[1]))
+        reply = max((o for d, o in linked if d == min(d for d, _ in linked)), default=None)
+        out[c, k] = (len(quotes), len(linked), reply, own)
+    threads = {}
+    for c, k in sorted(out):
+        threads[c, k] = threads[c, out[c, k][2]] if out[c, k][2] is not None else k
+    return {x: (*out[x], threads[x]) for x in out}
+
+
+@pytest.fixture(scope="module")
+def threaded(sf):
+    """The table's conversations with nested, cut, re-wrapped and changed quotes planted between the turns."""
+    rng, rows = random.Random(2), []
+    for c, turns in pd.DataFrame(duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{sf}/conversations.parquet' ORDER BY conv_id, turn").fetchall()).groupby(0):
+        said = []
+        for _, k, role, text in turns.itertuples(index=False):
+            text = rng.choice([text, text, "yes please", "Ok.", f"{text}\n\nSecond part of turn {k % 3}."])
+            quotes = []
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3]) if said else 0):
+                depth, old = rng.randrange(1, 4), rng.choice(said)
+                old = rng.choice([old, old, old.split("\n")[0], rng.choice(re.split(r"(?<=[.!?])\s+", old)), old.upper(), old.replace(" ", "\n", 1), old[: len(old) // 2], "nobody said these words"])
+                quotes.append("\n".join(rng.choice([">" * depth + " ", "> " * depth]) + x for x in old.split("\n")))
+            said.append(text)
+            rows.append((int(c), int(k), role, "\n".join(["On Monday somebody wrote:"] * bool(quotes and rng.random() < 0.3) + quotes + [text])))
+    return rows
+
+
+def test_replies_by_brute_force(spark, threaded):
+    want = slow_replies(threaded)
+    df = spark.createDataFrame(threaded, "conv_id long, turn long, role string, text string")
+    out = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.reply_to, r.body, r.thread) for r in quotes.link_quotes(df).collect()}
+    assert out == want
+    assert sum(x[1] for x in want.values()) > 20 and any(x[4] != k and x[2] != x[4] for (_, k), x in want.items())
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_conversations_in_reply_order(spark, threaded, block):
+    long = [(10**6, k, "u", f"> message {k - 7} of a long one\nmessage {k} of a long one") for k in range(200)]  # seven threads
+    rows = threaded + long + [(None, 1, "u", "no conversation"), (10**6, 0, "u", "message 0 of a long one")]
+    want, replies = defaultdict(list), slow_replies([r for r in rows if r[0] is not None])
+    for c, k, role, t in rows:
+        _, _, reply, own, thread = replies.get((c, k), (0, 0, None, t, k))
+        want[c].append((thread, k, role, own.split("\n")[-1] if c == 10**6 else own, reply))
+    out = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), block=block).collect()
+    got = defaultdict(list)
+    for r in sorted(out, key=lambda r: r.first):
+        assert len(r.messages) == r.n_messages <= block
+        for k, m in enumerate(r.messages):
+            assert m.position == r.first + k == len(got[r.conv_id])
+            got[r.conv_id].append((m.thread, m.turn, m.role, m.body, m.reply_to))
+    assert got == {c: sorted(x, key=lambda m: m[:4]) for c, x in want.items()}
+    assert quotes.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
