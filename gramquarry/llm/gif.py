@@ -1,8 +1,9 @@
 """GIF media columns: code streams, palettes, disposal and transparency, timed frames and colour histograms.
 
-`decode` follows the GIF89a format: blocks are parsed, LZW code streams decoded, palettes applied, and
-frames composed on the canvas under their disposal and transparency rules. `encode` writes 8-bit samples
-as an animated GIF without loss. `gif_frames` and `payload_media` are the DataFrame operators.
+Reading follows the GIF89a format: `layout` finds the blocks, `decoded` decodes an image's LZW code stream, and
+`compose` applies palettes and draws the frames on the canvas under their disposal and transparency rules.
+`encode` writes 8-bit samples as an animated GIF without loss. `gif_frames` and `payload_media` are the
+DataFrame operators.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -26,15 +27,34 @@ WIDTH, ROWS = 64, 4096
 TABLE = 4096
 #: First rows and row steps of the four passes of an interlaced image (fixed by the format).
 PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
+#: Pixels of a canvas or an image, at most: a header may claim 2^32 of them, and a code may stand for thousands.
+MOST_PIXELS = 1 << 24
 
 
 class GifError(ValueError):
     """The bytes are not a whole GIF."""
 
 
+@dataclass
+class Image:
+    """One image of a GIF as it is stored."""
+
+    left: int
+    top: int
+    width: int
+    height: int
+    interlaced: bool
+    palette: np.ndarray
+    delay_ms: int
+    disposal: int
+    transparent: int | None
+    size: int
+    code: bytes
+
+
 @dataclass
 class Frame:
-    """One image of a GIF: its place, palette indices and timing, before it is composed."""
+    """An image with its palette indices, before it is composed."""
 
     left: int
     top: int
@@ -185,11 +205,14 @@ def encode(samples: bytes, *, width: int = WIDTH, rows: int = ROWS, delay_ms: in
     return b"".join(parts) + b"\x3b"
 
 
-def parse(data: bytes) -> tuple[int, int, list[Frame]]:
-    """Canvas width and height, and the frames as stored. Raises GifError on anything that isn't whole."""
+def layout(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[int, int, list[Image]]:
+    """Canvas width and height, and the images, none of which is decoded yet. Raises GifError on blocks that aren't
+    whole, and on canvases and images of more than most_pixels."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("no GIF header")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > most_pixels:
+        raise GifError("the canvas is too large")
     at = 13
 
     def palette(flags: int) -> np.ndarray | None:
@@ -218,14 +241,14 @@ def parse(data: bytes) -> tuple[int, int, list[Frame]]:
             parts.append(data[at : at + n])
             at += n
 
-    shared, frames = palette(flags), []
+    shared, images = palette(flags), []
     delay, disposal, transparent = 0, 0, None
     while True:
         if at >= len(data):
             raise GifError("no trailer")
         kind, at = data[at], at + 1
         if kind == 0x3B:
-            return width, height, frames
+            return width, height, images
         if kind == 0x21:
             label, at = data[at] if at < len(data) else -1, at + 1
             body = sub_blocks()
@@ -241,26 +264,40 @@ def parse(data: bytes) -> tuple[int, int, list[Frame]]:
             if at >= len(data) or not 1 <= data[at] <= 8:
                 raise GifError("no code size")
             size, at = data[at], at + 1
-            samples = lzw_decode(sub_blocks(), size, w * h)
-            if len(samples) < w * h:
-                raise GifError("an image has too few samples")
-            image = np.frombuffer(samples, dtype=np.uint8).reshape(h, w)
-            if local & 0x40:
-                order = np.concatenate([np.arange(first, h, step) for first, step in PASSES])
-                plain = np.empty_like(image)
-                plain[order] = image
-                image = plain
+            if w * h > most_pixels:
+                raise GifError("an image is too large")
             chosen = colours if colours is not None else shared
             if chosen is None:
                 raise GifError("no palette")
-            frames.append(Frame(left, top, image, chosen, delay, disposal, transparent))
+            images.append(Image(left, top, w, h, bool(local & 0x40), chosen, delay, disposal, transparent, size, sub_blocks()))
             delay, disposal, transparent = 0, 0, None
         else:
             raise GifError("an unknown block")
 
 
-def compose(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray]:
-    """The canvas (height, width, RGBA) as shown at each frame.
+def decoded(image: Image) -> Frame:
+    """The image's frame. Raises GifError where its code stream isn't whole."""
+    w, h = image.width, image.height
+    samples = lzw_decode(image.code, image.size, w * h)
+    if len(samples) < w * h:
+        raise GifError("an image has too few samples")
+    rows = np.frombuffer(samples, dtype=np.uint8).reshape(h, w)
+    if image.interlaced:
+        order = np.concatenate([np.arange(first, h, step) for first, step in PASSES])
+        plain = np.empty_like(rows)
+        plain[order] = rows
+        rows = plain
+    return Frame(image.left, image.top, rows, image.palette, image.delay_ms, image.disposal, image.transparent)
+
+
+def parse(data: bytes) -> tuple[int, int, list[Frame]]:
+    """Canvas width and height, and all frames. Raises GifError on anything that isn't whole."""
+    width, height, images = layout(data)
+    return width, height, [decoded(x) for x in images]
+
+
+def compose(width: int, height: int, frames: Iterable[Frame]) -> Iterator[np.ndarray]:
+    """The canvas (height, width, RGBA) as shown at each frame; the frames are taken one by one.
 
     Disposal 2 clears the frame's place to transparent and 3 restores what was there before; 0, 1 and
     reserved values leave it. Parts of a frame beyond the canvas are not drawn; indices beyond the
@@ -292,12 +329,14 @@ def histogram(rgba: np.ndarray, bins: int = 8) -> list[int]:
 FRAMES = "media_id string, frame int, start_ms long, delay_ms int, width int, height int, rgba binary, histogram array<long>, error string"
 
 
-def gif_frames(media: DataFrame, *, id_column: str = "media_id", content_column: str = "content") -> DataFrame:
+def gif_frames(media: DataFrame, *, id_column: str = "media_id", content_column: str = "content", most_pixels: int = MOST_PIXELS) -> DataFrame:
     """One row (FRAMES) for every composed frame of every GIF in a binary column.
 
-    Bytes that are null, empty or not a whole GIF, and GIFs without images, give one row with a null
-    frame and the reason in error. Rows are independent; frames leave as they are composed, so memory
-    holds one canvas at a time and the stored file.
+    Bytes that are null, empty or no GIF with whole blocks, GIFs without images, and those with a canvas or an
+    image of more than most_pixels give one row with a null frame and the reason in error. Where a code stream
+    turns out broken, the frames before it are followed by such a row. Rows are independent; frames are decoded
+    and leave one by one, so memory holds the stored file, one image and one canvas with its copy; repeated rows
+    give equal frames; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,17 +345,16 @@ def gif_frames(media: DataFrame, *, id_column: str = "media_id", content_column:
             for k in range(len(batch)):
                 media_id, data = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 empty = dict.fromkeys(schema.names) | {"media_id": media_id}
+                start = 0
                 try:
-                    width, height, frames = parse(data or b"")
-                    if not frames:
+                    width, height, images = layout(data or b"", most_pixels)
+                    if not images:
                         raise GifError("no image")
+                    for n, (x, canvas) in enumerate(zip(images, compose(width, height, map(decoded, images)), strict=True)):
+                        yield pa.RecordBatch.from_pylist([{"media_id": media_id, "frame": n, "start_ms": start, "delay_ms": x.delay_ms, "width": width, "height": height, "rgba": canvas.tobytes(), "histogram": histogram(canvas), "error": None}], schema)
+                        start += x.delay_ms
                 except GifError as e:
                     yield pa.RecordBatch.from_pylist([empty | {"error": str(e)}], schema)
-                    continue
-                start = 0
-                for n, (f, canvas) in enumerate(zip(frames, compose(width, height, frames), strict=True)):
-                    yield pa.RecordBatch.from_pylist([{"media_id": media_id, "frame": n, "start_ms": start, "delay_ms": f.delay_ms, "width": width, "height": height, "rgba": canvas.tobytes(), "histogram": histogram(canvas), "error": None}], schema)
-                    start += f.delay_ms
 
     return media.select(F.col(id_column).cast("string").alias("media_id"), F.col(content_column).alias("content")).mapInArrow(run, FRAMES)
 
@@ -334,13 +372,20 @@ def describe(text: str) -> tuple:
     """The MEDIA columns but doc_id: the text's payload is stored as a GIF, which is decoded again."""
     data, n = payload(text)
     stored = encode(data)
-    width, height, frames = parse(stored)
-    back = b"".join(f.samples.tobytes() for f in frames)
-    counts = np.zeros(24, dtype=np.int64)
-    for canvas in compose(width, height, frames):  # one at a time, as gif_frames does
+    width, height, images = layout(stored)
+    back, counts = [], np.zeros(24, dtype=np.int64)
+
+    def read() -> Iterator[Frame]:
+        for x in images:
+            frame = decoded(x)
+            back.append(frame.samples.tobytes())
+            yield frame
+
+    for canvas in compose(width, height, read()):  # the code path of gif_frames
         counts += histogram(canvas)
+    whole = b"".join(back)
     feature = f"{width}x{height};" + ",".join(map(str, counts.tolist()))
-    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), len(frames), sum(f.delay_ms for f in frames), feature
+    return n, len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), len(images), sum(x.delay_ms for x in images), feature
 
 
 def payload_media(docs: DataFrame) -> DataFrame:

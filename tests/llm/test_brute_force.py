@@ -254,6 +254,9 @@ def test_media(docs, texts):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
         stored = gif.encode(data)
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert slow_gif(stored) == data
+        grey = [sum(b >> 5 == k for b in data) for k in range(8)]
+        assert r.feature == f"64x{min(4096, len(data) // 64)};" + ",".join(map(str, 3 * grey)) or r.n_frames > 1
 
 
 def test_media_feature_is_of_the_composed_frames(spark):
@@ -266,6 +269,22 @@ def test_media_feature_is_of_the_composed_frames(spark):
     assert row.feature == f"{frames[0].width}x{frames[0].height};" + ",".join(map(str, want))
 
 
+def slow_gif(stored):
+    """The samples of grey frames, block by block, with the code streams decoded code by code."""
+    at, out = 13 + 3 * 256, b""
+    while stored[at] != 0x3B:
+        if stored[at] == 0x21:
+            at += 2
+        else:
+            at += 11  # descriptor and code size
+        code, kind = b"", stored[at - 1]
+        while stored[at]:
+            code, at = code + stored[at + 1 : at + 1 + stored[at]], at + 1 + stored[at]
+        at += 1
+        out += slow_lzw(code, 8) if kind == 8 else b""
+    return out
+
+
 def slow_lzw(data, size):
     """Code by code, as the format describes it."""
     clear, out, at, width = 1 << size, bytearray(), 0, size + 1
@@ -320,6 +339,11 @@ def test_frames(spark):
     assert a[0].histogram == [0] * 7 + [4] + [4] + [0] * 7 + [4] + [0] * 7
     assert [(r.media_id, r.frame) for r in rows if r.media_id != "a"] == [("b", None), ("c", None), ("d", None)]
     assert all(r.error for r in rows if r.media_id != "a")
+    huge, bomb = b"GIF89a" + b"\xff\xff\xff\xff" + bytes([0x81, 0, 0]) + shared + b"\x3b", head + image(0, 0, 60000, 60000, [0] * 9, (0, None, 0)) + b"\x3b"
+    cut = head + image(0, 0, 2, 2, [0, 0, 0, 0], (1, None, 10)) + image(0, 0, 2, 2, [0, 0], (1, None, 10)) + b"\x3b"  # the second has too few samples
+    df = spark.createDataFrame([("e", bytearray(huge)), ("f", bytearray(bomb)), ("g", bytearray(cut)), ("h", bytearray())], "media_id string, content binary").withColumn("frame", pii.F.lit(1))
+    assert [(r.media_id, r.frame, r.error) for r in gif.gif_frames(df).collect()] == [("e", None, "the canvas is too large"), ("f", None, "an image is too large"), ("g", 0, None), ("g", None, "an image has too few samples"), ("h", None, "no GIF header")]
+    assert gif.gif_frames(df.limit(0)).count() == 0
     order = [0, 4, 2, 6, 1, 3, 5, 7]
     stored = b"GIF89a" + (1).to_bytes(2, "little") + (8).to_bytes(2, "little") + bytes([0x82, 0, 0]) + bytes(range(24)) + image(0, 0, 1, 8, order, (0, None, 0), interlaced=True, size=3) + b"\x3b"
     assert gif.parse(stored)[2][0].samples.reshape(-1).tolist() == list(range(8))
