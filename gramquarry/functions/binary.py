@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gramquarry.config import INDEX_STEP, INDEX_WINDOW, NGRAM_MAX, NGRAM_MIN, QUERY_STEP, QUERY_WINDOW, BytesMode
 
 LOW24 = 0xFFFFFF
-SIGN = 1 << 31
+WORD32 = 0xFFFFFFFF
+# Fixed values of the hash.
+C1, C2, H_ADD, F1, F2 = 0xCC9E2D51, 0x1B873593, 0xE6546B64, 0x85EBCA6B, 0xC2B2AE35
 
 
 def to_bytes(text: Column, mode: BytesMode | int = BytesMode.UTF8) -> Column:
@@ -78,13 +82,68 @@ def proper_grams(value: Column) -> Column:
     return F.filter(F.array_distinct(grams(value, NGRAM_MIN, NGRAM_MAX - 1)), lambda g: F.octet_length(g) < F.octet_length(value))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _times(x: Column, factor: int) -> Column:
+    """x * factor modulo 2^32 of numbers below 2^32, by halves, as products of 64 bits would overflow."""
+    high = F.shiftleft((F.shiftright(x, 16) * factor).bitwiseAND(F.lit(0xFFFF)), 16)
+    return (x.bitwiseAND(F.lit(0xFFFF)) * factor + high).bitwiseAND(F.lit(WORD32))
+
+
+def _rotated(x: Column, bits: int) -> Column:
+    return F.shiftleft(x, bits).bitwiseOR(F.shiftright(x, 32 - bits)).bitwiseAND(F.lit(WORD32))
+
+
+def hash32(gram: Column) -> Column:
+    """MurmurHash3 x86 32-bit, seed 0, of five bytes as a non-negative long: one block of four and a tail of one."""
+    number = lambda part: F.conv(F.hex(part), 16, 10).cast("long")
+    byte = lambda i: number(F.substring(gram, F.lit(i), F.lit(1)))
+    mixed = lambda x: _let(_times(x, C1), lambda k: _let(_rotated(k, 15), lambda r: _times(r, C2)))
+    block = byte(1).bitwiseOR(F.shiftleft(byte(2), 8)).bitwiseOR(F.shiftleft(byte(3), 16)).bitwiseOR(F.shiftleft(byte(4), 24))
+    body = _let(_let(block, mixed), lambda k: (_rotated(k, 13) * 5 + H_ADD).bitwiseAND(F.lit(WORD32)))
+    h = body.bitwiseXOR(_let(byte(5), mixed)).bitwiseXOR(F.lit(5))
+    shifted = lambda x, bits: x.bitwiseXOR(F.shiftright(x, bits))
+    h = _let(h, lambda x: shifted(x, 16))
+    h = _let(_let(h, lambda x: _times(x, F1)), lambda x: shifted(x, 13))
+    return _let(_let(h, lambda x: _times(x, F2)), lambda x: shifted(x, 16))
+
+
+def hash32_of(gram: bytes) -> int:
+    """The same hash of literal bytes of any length."""
+
+    def mixed(k: int) -> int:
+        k = k * C1 & WORD32
+        return (k << 15 | k >> 17) * C2 & WORD32
+
+    h, whole = 0, len(gram) & ~3
+    for at in range(0, whole, 4):
+        h ^= mixed(int.from_bytes(gram[at : at + 4], "little"))
+        h = ((h << 13 | h >> 19) * 5 + H_ADD) & WORD32
+    if whole < len(gram):
+        h ^= mixed(int.from_bytes(gram[whole:], "little"))
+    h ^= len(gram)
+    h = (h ^ h >> 16) * F1 & WORD32
+    h = (h ^ h >> 13) * F2 & WORD32
+    return h ^ h >> 16
+
+
 def bucket(gram: Column) -> Column:
     """(length << 24) | 24 bits: the low bytes themselves up to 4 bytes, a hash at 5; null at other lengths."""
     size = F.octet_length(gram)
-    low = F.when(size < NGRAM_MAX, F.conv(F.hex(gram), 16, 10).cast("long").bitwiseAND(F.lit(LOW24))).otherwise(F.xxhash64(gram).bitwiseAND(F.lit(LOW24)))
+    low = F.when(size < NGRAM_MAX, F.conv(F.hex(gram), 16, 10).cast("long").bitwiseAND(F.lit(LOW24))).otherwise(hash32(gram).bitwiseAND(F.lit(LOW24)))
     return F.when(size.between(NGRAM_MIN, NGRAM_MAX), (F.shiftleft(size.cast("long"), 24).bitwiseOR(low)).cast("int"))
 
 
+def bucket_of(gram: bytes) -> int | None:
+    """The bucket of literal bytes."""
+    if not NGRAM_MIN <= len(gram) <= NGRAM_MAX:
+        return None
+    return len(gram) << 24 | (int.from_bytes(gram, "big") if len(gram) < NGRAM_MAX else hash32_of(gram)) & LOW24
+
+
 def pack_key(len_idx: Column, bucket_index: Column) -> Column:
     return F.shiftleft(len_idx.cast("long"), 32).bitwiseOR(bucket_index.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
@@ -141,5 +200,12 @@ def search_prefix(column: Column, index_id: Column, group_id: Column, level: Col
     return F.substring(whole, F.lit(1), F.octet_length(whole) - 2)
 
 
+def without_group(term: Column) -> Column:
+    """The stored term with index and group as zero: equal for one term of several indexes and groups."""
+    size = F.conv(F.hex(F.substring(term, F.lit(1), F.lit(4))), 16, 10).cast("long") - (1 << 31)
+    head = size.cast("int") + 4
+    return F.concat(F.substring(term, F.lit(1), head), _sortable(F.lit(0), 2), _sortable(F.lit(0), 4), F.substring(term, head + 7, F.octet_length(term)))
+
+
 def max_hot_payload(budget: Column, anchor_length: Column) -> Column:
     return budget + anchor_length - 1

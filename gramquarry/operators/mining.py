@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gramquarry.config import HIT_BAND, HIT_TIERS, NGRAM_MAX
 from gramquarry.functions.binary import bucket, grams, index_windows, proper_grams
+from gramquarry.operators.ordering import ranked
 
 #: No hits sort after all others.
 LAST = 2147483647
@@ -56,10 +57,16 @@ def maximal(occurrences: DataFrame, keys: tuple[str, ...] = ("column", "group_id
     return occurrences.join(covered, [*keys, "term", "gram"], "left_anti")
 
 
-def ordinals(hot: DataFrame, keys: tuple[str, ...] = ("column", "group_id")) -> DataFrame:
+def numbered(df: DataFrame, keys: tuple[str, ...], order: tuple[Column | str, ...], bounded: bool) -> DataFrame:
+    """Rows numbered from 1 within the keys; bounded keys have few enough rows for a task each."""
+    if not bounded:
+        return ranked(df, keys, order)
+    return df.withColumn("term_index", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def ordinals(hot: DataFrame, keys: tuple[str, ...] = ("column", "group_id"), *, bounded: bool = True) -> DataFrame:
     """Hot grams numbered from 1 by length, then bytes."""
-    order = Window.partitionBy(*keys).orderBy(F.octet_length("gram"), "gram")
-    return hot.withColumn("term_index", F.row_number().over(order))
+    return numbered(hot, keys, (F.octet_length("gram"), "gram"), bounded)
 
 
 def hit_counts(term_table: DataFrame, maximal_rows: DataFrame, keys: tuple[str, ...] = ("column", "group_id")) -> DataFrame:
@@ -68,10 +75,9 @@ def hit_counts(term_table: DataFrame, maximal_rows: DataFrame, keys: tuple[str,
     return term_table.join(hits, [*keys, "term"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 
-def flush_ranks(counted: DataFrame, keys: tuple[str, ...] = ("column", "group_id")) -> DataFrame:
+def flush_ranks(counted: DataFrame, keys: tuple[str, ...] = ("column", "group_id"), *, bounded: bool = True) -> DataFrame:
     """Common terms numbered from 1 by their hits, those without hits last, ties by bytes."""
-    order = Window.partitionBy(*keys).orderBy(F.when(F.col("hits") == 0, LAST).otherwise(F.col("hits")), "term")
-    return counted.withColumn("term_index", F.row_number().over(order))
+    return numbered(counted, keys, (F.when(F.col("hits") == 0, LAST).otherwise(F.col("hits")), "term"), bounded)
 
 
 def hit_tier(hits: Column) -> Column:
@@ -96,19 +102,18 @@ def bucket_orders(numbered: DataFrame, keys: tuple[str, ...] = ("column", "group
 
 
 def packed_groups(term_table: DataFrame, cap: int) -> DataFrame:
-    """Terms cut into groups of `cap` in byte order within their column, for columns that fit one task.
+    """Terms cut into groups of `cap` in byte order within their column.
 
     The index deals groups by hash instead, which needs no order over a whole column.
     """
-    order = Window.partitionBy("column").orderBy("term")
-    return term_table.withColumn("group_id", F.floor((F.row_number().over(order) - 1) / cap).cast("int"))
+    return ranked(term_table, ("column",), ("term",)).withColumn("group_id", F.floor((F.col("term_index") - 1) / cap).cast("int")).drop("term_index")
 
 
 def key_changes(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """Rows with `changed` where a sorted stream's key differs from the row before; per first key."""
-    window = Window.partitionBy(keys[0]).orderBy(*keys[1:], *order)
-    before = F.lag(F.struct(*keys)).over(window)
-    return df.withColumn("changed", ~F.coalesce(before == F.struct(*keys), F.lit(False)))
+    """Rows with `changed` where a sorted stream's key differs from the row before; per first key. A row begins a
+    key iff none of the key sorts before it, so whole keys are grouped and no first key is one task."""
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"))
+    return df.join(first, list(keys)).withColumn("changed", F.struct(*order) == F.col("__first")).drop("__first")
 
 
 def union_docs(a: Column, b: Column) -> Column:
@@ -130,3 +135,18 @@ def retag(term_tables: list[DataFrame]) -> DataFrame:
     for t in tagged[1:]:
         out = out.unionByName(t)
     return out
+
+
+def merged(term_tables: list[DataFrame], key: str = "term") -> DataFrame:
+    """(key, rank, index_id): an ordered merge of several sorted tables. rank counts the distinct keys in byte order from
+    1, and the rows of a key come in the order of their tables."""
+    rows = retag([t.select(key).distinct() for t in term_tables])
+    keys = ranked(rows.select(key).distinct().withColumn("__all", F.lit(0)), ("__all",), (key,), "rank").drop("__all")
+    return rows.join(keys, key)
+
+
+def posting_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, doc_id, in_a, in_b) of two postings given as rows, from which union (all), difference (in_a and not in_b)
+    and intersection (both) are filters; no key's documents ever meet in one row."""
+    rows = a.select(*keys, "doc_id", F.lit(True).alias("in_a"), F.lit(False).alias("in_b")).unionByName(b.select(*keys, "doc_id", F.lit(False).alias("in_a"), F.lit(True).alias("in_b")))
+    return rows.groupBy(*keys, "doc_id").agg(F.bool_or("in_a").alias("in_a"), F.bool_or("in_b").alias("in_b"))

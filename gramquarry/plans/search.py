@@ -3,6 +3,7 @@ those in which one value holds the whole pattern."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
@@ -19,14 +20,23 @@ def holds(value: Column, part: bytes) -> Column:
     return F.contains(value, F.lit(bytearray(part)))
 
 
-def candidate(value: Column, pattern: bytes) -> Column:
+def text_holds(text: Column, part: bytes) -> Column:
+    """Whether a text holds the bytes. Whole characters are compared as text, a filter that reaches the scan."""
+    try:
+        return F.contains(text, F.lit(part.decode()))
+    except UnicodeDecodeError:
+        return holds(text.cast("binary"), part)
+
+
+def candidate(value: Column, pattern: bytes, has: Callable[[Column, bytes], Column] = holds) -> Column:
     """Whether the value holds every slice; an empty pattern has none and matches nothing."""
     slices = query_slices(pattern)
-    return reduce(and_, (holds(value, s) for s in slices)) if slices else F.lit(False)
+    return reduce(and_, (has(value, s) for s in slices)) if slices else F.lit(False)
 
 
-def exact(value: Column, pattern: bytes) -> Column:
-    return candidate(value, pattern) & holds(value, pattern) if pattern else F.lit(False)
+def exact(value: Column, pattern: bytes, has: Callable[[Column, bytes], Column] = holds) -> Column:
+    """Whether the value holds the whole pattern, and so every slice."""
+    return has(value, pattern) if pattern else F.lit(False)
 
 
 def any_of(value: Column, patterns: list[bytes], mode: str = "exact") -> Column:
@@ -36,8 +46,11 @@ def any_of(value: Column, patterns: list[bytes], mode: str = "exact") -> Column:
 
 
 def match(df: DataFrame, column: str, pattern: str | bytes, *, mode: str = "candidate", bytes_mode: BytesMode = BytesMode.UTF8) -> DataFrame:
-    """Rows of a table with one value per row: one filter, no shuffle."""
+    """Rows of a table with one value per row: one filter, no shuffle. On text columns the filter reaches the scan as
+    far as slices are whole characters."""
     test = {"exact": exact, "candidate": candidate}[mode]
+    if dict(df.dtypes)[column] == "string":
+        return df.where(test(F.col(column), pattern_bytes(pattern, bytes_mode), text_holds))
     return df.where(test(F.col(column).cast("binary"), pattern_bytes(pattern, bytes_mode)))
 
 

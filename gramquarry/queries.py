@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramquarry.config import HOT_THRESHOLD, BytesMode, Level, block_complete, target_level
+from gramquarry.config import HOT_THRESHOLD, LAYER_THRESHOLD, LEVEL_TERMS, OVER_RATE, BytesMode, Level, block_complete, by_level, target_level
 from gramquarry.functions import binary
 from gramquarry.operators import mining
 from gramquarry.plans.index import FpIndex
 from gramquarry.plans.search import any_of, candidate, exact, match, scan_search
+from gramquarry.session import shared_folder
 from gramquarry.sources import columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,10 +106,12 @@ def json_column_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_search(source, "k", "6").select(F.col("doc_id").alias("event_id"))
 
 
-@query("SELECT event_id FROM events WHERE false")
+@query("SELECT event_id, 'kind' AS field FROM events WHERE contains(event_type, 'k') UNION ALL SELECT event_id, 'props' FROM events WHERE contains(props, 'k')")
 def json_column_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = columns.from_json(table(spark, sf_dir, "events"), "event_id", "props")
-    return scan_search(source, "other", "6").select(F.col("doc_id").alias("event_id"))
+    """One pattern in two keys of the same objects: a value counts in its own column alone."""
+    objects = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("kind"), "props")).alias("j"))
+    source = columns.from_json(objects, "event_id", "j")
+    return columns.union([scan_search(source, c, "k").select(F.col("doc_id").alias("event_id"), F.lit(c).alias("field")) for c in ("kind", "props")])
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'd' END AS field, CASE WHEN event_id % 3 = 0 THEN props WHEN event_id % 3 = 1 THEN '@@jsonkey@@' || event_type ELSE props END AS rest FROM events")
@@ -126,10 +130,16 @@ def hex_decode_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match(decoded, "value", "23 30 30 30 30 30 30 31", mode="exact", bytes_mode=BytesMode.HEX).select("c_custkey")
 
 
-@query("SELECT 'content_bfp' AS field UNION ALL SELECT 'title_sfp'")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'content_bfp' AS field, n_name AS value FROM nation UNION ALL SELECT CAST(n_nationkey AS BIGINT), 'title_sfp', CAST(n_regionkey AS VARCHAR) FROM nation")
 def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = table(spark, sf_dir, "region").select(*(F.col("r_name").alias(c) for c in ("content_bfp", "title_sfp", "content_bfp_extra", "bfp")))
-    return spark.createDataFrame([(c,) for c in columns.search_fields(wide)], "field string")
+    """The values of the columns that take part by their names; the other two don't."""
+    wide = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").cast("binary").alias("content_bfp"), F.col("n_regionkey").alias("title_sfp"), F.col("n_name").alias("content_bfp_extra"), F.col("n_name").alias("bfp"))
+    return columns.from_columns(wide, "n_nationkey", columns.search_fields(wide)).select("doc_id", F.col("column").alias("field"), F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE contains(s_name, '00001')")
+def source_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match(columns.read(spark, f"{sf_dir}/supplier.parquet"), "s_name", "00001", mode="exact").select("s_suppkey", "s_name")
 
 
 # ---- windows, terms, postings
@@ -159,10 +169,17 @@ def window_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.terms(source).groupBy("term").agg(F.count("*").alias("n_docs")).select(F.hex("term").alias("term"), "n_docs")
 
 
-@query("SELECT hex(encode(p_type)) AS term, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS docs, count(*) AS n FROM part GROUP BY p_type")
+@query("SELECT hex(encode(p_type)) AS term, p_partkey AS doc_id, count(*) OVER (PARTITION BY p_type) AS n FROM part")
 def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = columns.from_columns(table(spark, sf_dir, "part"), "p_partkey", ["p_type"])
-    return mining.postings(mining.terms(source)).select(F.hex("term").alias("term"), listed("docs").alias("docs"), F.size("docs").cast("long").alias("n"))
+    rows = mining.terms(columns.from_columns(table(spark, sf_dir, "part"), "p_partkey", ["p_type"]))
+    return rows.join(rows.groupBy("term").agg(F.count("*").alias("n")), "term").select(F.hex("term").alias("term"), "doc_id", "n")
+
+
+@query("SELECT hex(encode(p_brand)) AS term, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS docs FROM part WHERE p_size = 1 GROUP BY p_brand")
+def term_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings as arrays, for terms of few documents."""
+    source = columns.from_columns(table(spark, sf_dir, "part").where("p_size = 1"), "p_partkey", ["p_brand"])
+    return mining.postings(mining.terms(source)).select(F.hex("term").alias("term"), listed("docs").alias("docs"))
 
 
 @query("SELECT 'p_type' AS field, count(DISTINCT p_type) AS terms, count(DISTINCT p_partkey) AS docs FROM part UNION ALL SELECT 'p_brand', count(DISTINCT p_brand), count(DISTINCT p_partkey) FROM part")
@@ -171,9 +188,9 @@ def column_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.terms(source).groupBy(F.col("column").alias("field")).agg(F.count_distinct("term").alias("terms"), F.count_distinct("doc_id").alias("docs"))
 
 
-# ---- grams and hot mining, over customer.c_name
+# ---- grams and hot mining, over the windows of pages.url
 
-_TERMS = "t AS (SELECT c_custkey AS doc_id, hex(encode(c_name)) AS h FROM customer WHERE length(c_name) > 0)"
+_TERMS = f"t AS (SELECT page_id AS doc_id, term AS h FROM ({_WINDOWS.format(key='page_id', text='url', table='pages', width=32, step=27)}))"
 _GRAMS = f"""{_TERMS},
 u AS (SELECT DISTINCT h FROM t),
 lens AS (SELECT h, unnest(range(1, 6)) AS l FROM u),
@@ -190,8 +207,12 @@ hits AS (SELECT u.h, count(top.g) AS hits FROM u LEFT JOIN top ON u.h = top.h GR
 ranked AS (SELECT h, hits, row_number() OVER (ORDER BY CASE WHEN hits = 0 THEN 2147483647 ELSE hits END, h) AS term_index FROM hits)"""
 
 
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.from_columns(table(spark, sf_dir, "pages"), "page_id", ["url"])
+
+
 def _term_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.terms(names(spark, sf_dir)).select("column", "term").distinct()
+    return mining.terms(_urls(spark, sf_dir)).select("column", "term").distinct()
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,13 +242,13 @@ def hot_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_HOT} SELECT g AS gram, CAST(row_number() OVER (ORDER BY l, g) AS INTEGER) AS term_index FROM hot")
 def hot_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.ordinals(mining.hot_grams(_rows(spark, sf_dir), THRESHOLD, KEYS), KEYS).select(F.hex("gram").alias("gram"), "term_index")
+    return mining.ordinals(mining.hot_grams(_rows(spark, sf_dir), THRESHOLD, KEYS), KEYS, bounded=False).select(F.hex("gram").alias("gram"), "term_index")
 
 
-@query(f"WITH {_MAX} SELECT top.g AS gram, count(DISTINCT t.doc_id) AS n, string_agg(DISTINCT CAST(t.doc_id AS VARCHAR), ',' ORDER BY CAST(t.doc_id AS VARCHAR)) AS docs FROM top JOIN t USING (h) GROUP BY top.g")
+@query(f"WITH {_MAX} SELECT DISTINCT top.g AS gram, t.doc_id FROM top JOIN t USING (h)")
 def hot_maximal_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _top(spark, sf_dir).join(mining.terms(names(spark, sf_dir)), ["column", "term"])
-    return docs.groupBy("gram").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("d")).select(F.hex("gram").alias("gram"), F.size("d").cast("long").alias("n"), listed("d").alias("docs"))
+    docs = _top(spark, sf_dir).join(mining.terms(_urls(spark, sf_dir)), ["column", "term"])
+    return docs.select(F.hex("gram").alias("gram"), "doc_id").distinct()
 
 
 @query(f"WITH {_MAX} SELECT g AS gram FROM hot ANTI JOIN top USING (g)")
@@ -244,7 +265,7 @@ def common_residual_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_RANK} SELECT h AS term, hits, CAST(term_index AS INTEGER) AS term_index FROM ranked")
 def common_flush_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = mining.hit_counts(_term_table(spark, sf_dir), _top(spark, sf_dir), KEYS)
-    return mining.flush_ranks(counted, KEYS).select(F.hex("term").alias("term"), F.col("hits").cast("long").alias("hits"), "term_index")
+    return mining.flush_ranks(counted, KEYS, bounded=False).select(F.hex("term").alias("term"), F.col("hits").cast("long").alias("hits"), "term_index")
 
 
 @query(f"WITH {_RANK} SELECT CAST(CASE WHEN hits = 0 THEN 0 ELSE least((hits - 1) // 50 + 1, 16) END AS INTEGER) AS tier, count(*) AS n FROM ranked GROUP BY 1")
@@ -259,23 +280,59 @@ def down_tier_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hot.groupBy(F.octet_length("gram").alias("len"), mining.budget(F.col("gram")).cast("int").alias("budget")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_GRAMS} SELECT DISTINCT g AS gram, CAST((l << 24) | (CAST('0x' || g AS BIGINT) & 16777215) AS INTEGER) AS bucket, (CAST(l - 1 AS BIGINT) << 32) | ((l << 24) | (CAST('0x' || g AS BIGINT) & 16777215)) AS packed FROM d WHERE l <= 4")
+_MUL = "(({x} & 65535) * {c} + ((({x} >> 16) * {c} & 65535) << 16)) & 4294967295"
+_BYTE = "CAST('0x' || substr(g, {i}, 2) AS BIGINT)"
+
+
+def _hash_steps() -> str:
+    """The five-byte hash as a chain of DuckDB sub-queries over (g), ending in h."""
+    byte = lambda i: _BYTE.format(i=2 * i + 1)
+    mul = lambda x, c: _MUL.format(x=x, c=c)
+    steps = [
+        f"SELECT g, {byte(0)} | ({byte(1)} << 8) | ({byte(2)} << 16) | ({byte(3)} << 24) AS k, {byte(4)} AS t FROM (SELECT DISTINCT g FROM d WHERE l = 5)",
+        f"SELECT g, {mul('k', binary.C1)} AS k, {mul('t', binary.C1)} AS t",
+        "SELECT g, ((k << 15) | (k >> 17)) & 4294967295 AS k, ((t << 15) | (t >> 17)) & 4294967295 AS t",
+        f"SELECT g, {mul('k', binary.C2)} AS k, {mul('t', binary.C2)} AS t",
+        f"SELECT g, xor(xor(((((k << 13) | (k >> 19)) & 4294967295) * 5 + {binary.H_ADD}) & 4294967295, t), 5) AS h",
+        "SELECT g, xor(h, h >> 16) AS h",
+        f"SELECT g, {mul('h', binary.F1)} AS h",
+        "SELECT g, xor(h, h >> 13) AS h",
+        f"SELECT g, {mul('h', binary.F2)} AS h",
+        "SELECT g, xor(h, h >> 16) AS h",
+    ]
+    out = steps[0]
+    for step in steps[1:]:
+        out = f"{step} FROM ({out})"
+    return out
+
+
+_BUCKETS = f"""long AS ({_hash_steps()}),
+bk AS (SELECT g, CAST((l << 24) | (CAST('0x' || g AS BIGINT) & 16777215) AS INTEGER) AS bucket FROM (SELECT DISTINCT g, l FROM d WHERE l <= 4) UNION ALL SELECT g, CAST((5 << 24) | (h & 16777215) AS INTEGER) FROM long)"""
+
+
+@query(f"WITH {_GRAMS}, {_BUCKETS} SELECT g AS gram, bucket, (CAST(length(g) // 2 - 1 AS BIGINT) << 32) | bucket AS packed FROM bk")
 def bucket_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = _rows(spark, sf_dir).select("gram").where(F.octet_length("gram") <= 4).distinct()
+    some = _rows(spark, sf_dir).select("gram").distinct()
     number = binary.bucket(F.col("gram"))
     return some.select(F.hex("gram").alias("gram"), number.alias("bucket"), binary.pack_key(F.octet_length("gram") - 1, number).alias("packed"))
 
 
-@query(f"""WITH {_RANK}, b AS (SELECT DISTINCT CAST(l - 1 AS INTEGER) AS len_idx, CAST((l << 24) | (CAST('0x' || g AS BIGINT) & 16777215) AS INTEGER) AS bucket, term_index
-FROM d ANTI JOIN hot USING (g) JOIN ranked USING (h) WHERE l <= 4)
+@query(f"""WITH {_RANK}, {_BUCKETS}, b AS (SELECT DISTINCT CAST(l - 1 AS INTEGER) AS len_idx, bucket, term_index FROM d ANTI JOIN hot USING (g) JOIN ranked USING (h) JOIN bk USING (g))
 SELECT len_idx, bucket, string_agg(CAST(term_index AS VARCHAR), ',' ORDER BY term_index) AS orders FROM b GROUP BY len_idx, bucket""")
 def bucket_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    rest = mining.residual_grams(rows, mining.hot_grams(rows, THRESHOLD, KEYS), KEYS).where(F.octet_length("gram") <= 4)
-    ranked = mining.flush_ranks(mining.hit_counts(_term_table(spark, sf_dir), _top(spark, sf_dir), KEYS), KEYS)
+    rest = mining.residual_grams(rows, mining.hot_grams(rows, THRESHOLD, KEYS), KEYS)
+    ranked = mining.flush_ranks(mining.hit_counts(_term_table(spark, sf_dir), _top(spark, sf_dir), KEYS), KEYS, bounded=False)
     return mining.bucket_orders(rest.join(ranked, ["column", "term"]), KEYS).select("len_idx", "bucket", listed("orders").alias("orders"))
 
 
+@query(f"WITH {_HOT} SELECT g AS gram, CAST(6 - l + 5 - 1 AS INTEGER) AS longest FROM hot")
+def max_hot_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest payload under an anchor of five bytes."""
+    hot = mining.hot_grams(_rows(spark, sf_dir), THRESHOLD, KEYS)
+    return hot.select(F.hex("gram").alias("gram"), binary.max_hot_payload(mining.budget(F.col("gram")), F.lit(5)).cast("int").alias("longest"))
+
+
 # ---- policy
 
 _LEVELS = """
@@ -304,9 +361,17 @@ def block_complete_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.select("field", "level", block_complete(F.col("rate"), F.col("level"), F.col("docs"), F.col("terms")).alias("complete"))
 
 
+@query("""SELECT p_size, coalesce(cap, 512) AS cap, CAST(coalesce(rate, 1.4) AS DOUBLE) AS rate, coalesce(hot, 4) AS hot, coalesce(layer, 16) AS layer FROM (SELECT DISTINCT p_size FROM part)
+LEFT JOIN (VALUES (1, 512, 1.4, 4, 16), (2, 4096, 1.3, 8, 24), (3, 8192, 1.2, 16, 32), (4, 16384, 1.1, 32, 48)) AS v(level, cap, rate, hot, layer) ON p_size = level""")
+def level_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policy's values by level; numbers that are no level have the lowest one's."""
+    values = {"cap": LEVEL_TERMS, "rate": OVER_RATE, "hot": HOT_THRESHOLD, "layer": LAYER_THRESHOLD}
+    return table(spark, sf_dir, "part").select("p_size").distinct().select("p_size", *(by_level(F.col("p_size"), v).alias(k) for k, v in values.items()))
+
+
 @query("SELECT hex(encode(c_name)) AS term, CAST((row_number() OVER (ORDER BY hex(encode(c_name))) - 1) // 700 AS INTEGER) AS group_id FROM (SELECT DISTINCT c_name FROM customer)")
 def group_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.packed_groups(_term_table(spark, sf_dir), 700).select(F.hex("term").alias("term"), "group_id")
+    return mining.packed_groups(mining.terms(names(spark, sf_dir)).select("column", "term").distinct(), 700).select(F.hex("term").alias("term"), "group_id")
 
 
 @query("""SELECT p_brand, p_partkey, (lag(p_type) OVER (PARTITION BY p_brand ORDER BY p_type, p_partkey)) IS DISTINCT FROM p_type AS changed FROM part""")
@@ -332,11 +397,20 @@ def printable_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", binary.printable(F.when(F.col("s_suppkey") % 2 == 0, value).otherwise(F.concat(F.unhex(F.lit("FF")), value))).alias("shown"))
 
 
-@query("""SELECT p_brand, string_agg(DISTINCT CAST(k AS VARCHAR), ',' ORDER BY CAST(k AS VARCHAR)) FILTER (a OR b) AS either, string_agg(DISTINCT CAST(k AS VARCHAR), ',' ORDER BY CAST(k AS VARCHAR)) FILTER (a AND NOT b) AS only_first,
-count(*) FILTER (a AND b) AS both FROM (SELECT p_brand, p_partkey AS k, p_size <= 20 AS a, p_size >= 10 AS b FROM part) GROUP BY p_brand""")
+@query("SELECT p_brand, p_partkey AS doc_id, p_size <= 20 OR p_size >= 10 AS either, p_size <= 20 AND p_size < 10 AS only_first, p_size <= 20 AND p_size >= 10 AS both FROM part WHERE p_size <= 20 OR p_size >= 10")
 def posting_setops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("doc_id"), "p_size")
+    sets = mining.posting_sets(docs.where("p_size <= 20"), docs.where("p_size >= 10"), ["p_brand"])
+    a, b = F.col("in_a"), F.col("in_b")
+    return sets.select("p_brand", "doc_id", (a | b).alias("either"), (a & ~b).alias("only_first"), (a & b).alias("both"))
+
+
+@query("""SELECT p_brand, string_agg(DISTINCT CAST(k AS VARCHAR), ',' ORDER BY CAST(k AS VARCHAR)) FILTER (a OR b) AS either, string_agg(DISTINCT CAST(k AS VARCHAR), ',' ORDER BY CAST(k AS VARCHAR)) FILTER (a AND NOT b) AS only_first,
+count(*) FILTER (a AND b) AS both FROM (SELECT p_brand, p_partkey AS k, p_size <= 3 AS a, p_size >= 3 AS b FROM part WHERE p_size BETWEEN 2 AND 4) GROUP BY p_brand""")
+def posting_list_setops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over arrays, for postings that fit a row."""
     key = F.col("p_partkey").cast("string")
-    sets = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_set(F.when(F.col("p_size") <= 20, key)).alias("a"), F.collect_set(F.when(F.col("p_size") >= 10, key)).alias("b"))
+    sets = table(spark, sf_dir, "part").where("p_size BETWEEN 2 AND 4").groupBy("p_brand").agg(F.collect_set(F.when(F.col("p_size") <= 3, key)).alias("a"), F.collect_set(F.when(F.col("p_size") >= 3, key)).alias("b"))
     empty = lambda c: F.when(F.size(c) > 0, listed(c))
     return sets.select("p_brand", empty(mining.union_docs("a", "b")).alias("either"), empty(mining.difference_docs("a", "b")).alias("only_first"), F.size(mining.intersect_docs("a", "b")).cast("long").alias("both"))
 
@@ -347,63 +421,143 @@ def retag_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.retag(parts)
 
 
-# ---- search through the index
+@query("""WITH u AS (SELECT DISTINCT p_name AS t, 0 AS index_id FROM part WHERE p_size <= 2 UNION ALL SELECT DISTINCT p_name, 1 FROM part WHERE p_size >= 49 UNION ALL SELECT DISTINCT p_type, 2 FROM part)
+SELECT hex(encode(t)) AS term, CAST(dense_rank() OVER (ORDER BY encode(t)) AS INTEGER) AS rank, index_id FROM u""")
+def retag_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sorted tables as one in order: equal terms have one rank and come from several tables."""
+    part = table(spark, sf_dir, "part")
+    parts = [part.where("p_size <= 2").select("p_name"), part.where("p_size >= 49").select("p_name"), part.select("p_type")]
+    return mining.merged([p.select(F.col(p.columns[0]).cast("binary").alias("term")) for p in parts]).select(F.hex("term").alias("term"), "rank", "index_id")
+
+
+@query("SELECT s_suppkey, '80000006' || hex(encode('s_name')) || '8000' || '80000000' || '01' || CASE WHEN s_suppkey % 2 = 0 THEN '00' ELSE '01' END || printf('%08X', 2147483648 + s_suppkey) || '00' || '02' || hex(encode(s_name)) AS merge_key FROM supplier")
+def merge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = binary.encode_term(F.lit("s_name"), F.col("s_suppkey") % 7, F.col("s_nationkey"), F.lit(1), F.col("s_suppkey") % 2 == 0, F.col("s_suppkey"), F.lit(False), F.lit(2), F.col("s_name").cast("binary"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.hex(binary.without_group(stored)).alias("merge_key"))
+
 
+# ---- search through a stored index
 
-def _index(spark: SparkSession, sf_dir: str) -> FpIndex:
-    return FpIndex.build(names(spark, sf_dir))
+_BUILT: dict[tuple[str, ...], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, key: str, column: str, where: str = "true") -> FpIndex:
+    """The index of one column, written to the shared folder once for each session and read from there."""
+    of = (spark.sparkContext.applicationId, sf_dir, name, key, column, where)
+    if of not in _BUILT:
+        at = f"{shared_folder(spark)}/stored-index-{len(_BUILT)}-{uuid4().hex}"
+        FpIndex.build(columns.from_columns(table(spark, sf_dir, name).where(where), key, [column])).write(at)
+        _BUILT[of] = at
+    return FpIndex.read(spark, _BUILT[of])
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> FpIndex:
+    return _stored(spark, sf_dir, "customer", "c_custkey", "c_name")
 
 
 @query("SELECT c_custkey FROM customer WHERE contains(c_name, 'Custo') AND contains(c_name, '#0000') AND contains(c_name, 'mer#0') AND contains(c_name, 'tomer') AND contains(c_name, '00000')")
 def index_search_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).search("c_name", "Customer#00000").select(F.col("doc_id").alias("c_custkey"))
+    return _customers(spark, sf_dir).search("c_name", "Customer#00000").select(F.col("doc_id").alias("c_custkey"))
 
 
 @query("SELECT p_partkey FROM part WHERE contains(p_name, 'widge') AND contains(p_name, 'idget')")
 def index_search_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = columns.from_columns(table(spark, sf_dir, "part"), "p_partkey", ["p_name"])
-    return FpIndex.build(source).search("p_name", "widget").select(F.col("doc_id").alias("p_partkey"))
+    return _stored(spark, sf_dir, "part", "p_partkey", "p_name").search("p_name", "widget").select(F.col("doc_id").alias("p_partkey"))
 
 
 @query("SELECT c_custkey FROM customer WHERE contains(c_name, '00765')")
 def index_search_common(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).search("c_name", "00765").select(F.col("doc_id").alias("c_custkey"))
+    return _customers(spark, sf_dir).search("c_name", "00765").select(F.col("doc_id").alias("c_custkey"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE contains(CAST(o_orderkey AS VARCHAR), '1234')")
+def index_search_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "orders", "o_orderkey", "o_orderkey").search("o_orderkey", "1234").select(F.col("doc_id").alias("o_orderkey"))
 
 
 @query("SELECT page_id FROM pages WHERE contains(url, 'xampl') AND contains(url, 'ple.o') AND contains(url, 'le.or') AND contains(url, 'org/e') AND contains(url, '/en/2') AND contains(url, 'exampl'[1:5])")
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = columns.from_columns(table(spark, sf_dir, "pages"), "page_id", ["url"])
-    return FpIndex.build(source).search("url", "example.org/en/2").select(F.col("doc_id").alias("page_id"))
+    return _stored(spark, sf_dir, "pages", "page_id", "url").search("url", "example.org/en/2").select(F.col("doc_id").alias("page_id"))
 
 
 @query("SELECT page_id FROM pages WHERE contains(url, 'example.org/en/2')")
 def index_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = columns.from_columns(table(spark, sf_dir, "pages"), "page_id", ["url"])
-    return FpIndex.build(source).search("url", "example.org/en/2", mode="exact", source=source).select(F.col("doc_id").alias("page_id"))
+    return _stored(spark, sf_dir, "pages", "page_id", "url").search("url", "example.org/en/2", mode="exact", source=_urls(spark, sf_dir)).select(F.col("doc_id").alias("page_id"))
+
+
+@query("SELECT page_id FROM pages WHERE contains(url, '/e')")
+def index_or_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern of two bytes, which the search answers by scanning the source."""
+    return _stored(spark, sf_dir, "pages", "page_id", "url").search("url", "/e", source=_urls(spark, sf_dir)).select(F.col("doc_id").alias("page_id"))
+
+
+@query("SELECT page_id FROM pages WHERE contains(url, 'exa') AND contains(url, 'htt')")
+def index_search_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan for patterns with more candidates than the driver may see: slices joined with the stored tables."""
+    index = _stored(spark, sf_dir, "pages", "page_id", "url")
+    found = index.lookup("url", [b"exa", b"htt"]).union(index.scan_small("url", [b"exa", b"htt"])).distinct()
+    return found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 2").select(F.col("doc_id").alias("page_id"))
+
+
+def _thirds(spark: SparkSession, sf_dir: str) -> list[FpIndex]:
+    return [_stored(spark, sf_dir, "customer", "c_custkey", "c_name", f"c_custkey % 3 = {k}") for k in range(3)]
 
 
 @query("SELECT c_custkey FROM customer WHERE contains(c_name, '00765') OR contains(c_name, '01234')")
 def index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = names(spark, sf_dir)
-    merged = FpIndex.merge([FpIndex.build(source.where(F.col("doc_id") % 3 == k)) for k in range(3)])
+    merged = FpIndex.merge(_thirds(spark, sf_dir))
     return merged.search("c_name", "00765").union(merged.search("c_name", "01234")).select(F.col("doc_id").alias("c_custkey"))
 
 
+@query("SELECT CAST(c_custkey % 3 AS INTEGER) AS index_id, count(DISTINCT c_name) AS common_terms FROM customer GROUP BY 1")
+def merge_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common terms that each version of a merge puts in, whether with their group or one by one."""
+    return FpIndex.provenance(_thirds(spark, sf_dir)).select("index_id", (F.col("ingested") + F.col("merged_common")).alias("common_terms"))
+
+
 @query("SELECT c_custkey FROM customer WHERE contains(c_name, '#0000') AND contains(c_name, '00000') AND contains(c_name, '00012') AND c_custkey % 2 = 1")
 def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = names(spark, sf_dir)
-    left = FpIndex.build(source).delete(source.where(F.col("doc_id") % 2 == 0).select("doc_id"))
+    left = _customers(spark, sf_dir).delete(names(spark, sf_dir).where(F.col("doc_id") % 2 == 0).select("doc_id"))
     return left.search("c_name", "#00000012").select(F.col("doc_id").alias("c_custkey"))
 
 
 @query("SELECT 'c_name' AS field, count(DISTINCT c_name) AS common_count, count(DISTINCT c_custkey) AS doc_count, 7 AS format_version FROM customer")
 def block_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).block.groupBy(F.col("column").alias("field")).agg(F.sum("common_count").alias("common_count"), F.sum("doc_count").alias("doc_count"), F.max("format_version").alias("format_version"))
+    return _customers(spark, sf_dir).block.groupBy(F.col("column").alias("field")).agg(F.sum("common_count").alias("common_count"), F.sum("doc_count").alias("doc_count"), F.max("format_version").alias("format_version"))
+
+
+@query(f"WITH {_GRAMS} SELECT 'url' AS field, count(DISTINCT h) AS terms, (SELECT count(*) FROM (SELECT DISTINCT h, doc_id FROM t)) AS doclist_common FROM u")
+def write_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _stored(spark, sf_dir, "pages", "page_id", "url")
+    terms = index.term.where("tier = 'common'").groupBy("column").agg(F.count("*").alias("terms"))
+    return index.write_counters().join(terms, "column").select(F.col("column").alias("field"), "terms", "doclist_common")
 
 
-@query("SELECT 'common' AS tier, count(DISTINCT c_name) AS verified FROM customer WHERE contains(c_name, '00765') HAVING count(*) > 0")
+@query("SELECT hex(encode(p_name)) AS payload, count(*) AS n FROM part GROUP BY p_name")
+def index_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of a stored index with its documents' number."""
+    index = _stored(spark, sf_dir, "part", "p_partkey", "p_name")
+    return index.term_docs().groupBy("term").agg(F.count("*").alias("n")).select(F.hex("term").alias("payload"), "n")
+
+
+@query("SELECT * FROM (VALUES ('fp_term', 0), ('fp_posting', 0), ('fp_index', 0)) AS v(stored, violations)")
+def index_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the stored tables that lie out of order."""
+    return _stored(spark, sf_dir, "pages", "page_id", "url").violations().select(F.col("table").alias("stored"), F.col("violations").cast("int").alias("violations"))
+
+
+@query("""WITH s AS (SELECT unnest(['widge', 'idget']) AS s), n AS (SELECT DISTINCT p_name FROM part)
+SELECT 'sparse' AS tier, 2 AS blocks, 2 * (SELECT count(*) FROM n) AS candidates, (SELECT count(*) FROM n, s WHERE contains(p_name, s)) AS verified, (SELECT count(*) FROM part, s WHERE contains(p_name, s)) AS hits""")
 def search_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).funnel("c_name", "00765").select("tier", "verified")
+    """Counts along a search in a column of few terms, which has no buckets."""
+    return _stored(spark, sf_dir, "part", "p_partkey", "p_name").funnel("p_name", "widget").select("tier", F.col("blocks").cast("int").alias("blocks"), "candidates", "verified", "hits")
+
+
+@query(f"""WITH {_MAX}, s AS (SELECT unnest([hex(encode('ple.o')), hex(encode('.org/'))]) AS g)
+SELECT 'hot' AS tier, count(DISTINCT s.g) AS verified, count(DISTINCT (s.g, t.doc_id)) AS hits FROM s JOIN top ON top.g = s.g JOIN t ON t.h = top.h HAVING (SELECT count(*) FROM u) > 128""")
+def search_funnel_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot grams that a search through the buckets verifies, and their postings; for a column of one group."""
+    return _stored(spark, sf_dir, "pages", "page_id", "url").funnel("url", "ple.org/").where("tier = 'hot'").select("tier", "verified", "hits")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

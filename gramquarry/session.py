@@ -25,13 +25,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the cluster shares (spark.checkpoint.dir).
-
-    The setting is read from the session; only where it is unset (a local test) is a
-    temporary folder chosen. Spark's cleaner removes the files when they are unreachable.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, as spark.checkpoint.dir names it. Only a local session without the
+    setting, as in tests, gets a temporary one; on a cluster that is an error."""
+    sc = spark.sparkContext
+    at = sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gramquarry-checkpoint-"))
+        at = sc.getCheckpointDir()
+    return at
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder. Spark's cleaner removes the files when they are unreachable."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

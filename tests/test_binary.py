@@ -49,7 +49,7 @@ def test_buckets(spark):
     rows = spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate(values)], "i int, v binary").select("i", binary.bucket(F.col("v")).alias("b")).orderBy("i").collect()
     got = [r.b for r in rows]
     assert got[:3] == [(2 << 24) | 0x0102, (3 << 24) | 0x616263, (4 << 24) | 0x616263]
-    assert got[3] >> 24 == 5
+    assert got[3] == binary.bucket_of(b"abcde") and got[3] >> 24 == 5
     assert got[4:] == [None, None]
     key = binary.pack_key(F.lit(3), F.lit(42))
     assert tuple(spark.range(1).select(*binary.unpack_key(key)).first()) == (3, 42)
@@ -90,3 +90,20 @@ def test_policy(spark):
     full = [(1.0, 100, 100, False), (1.0, 3000, 0, True), (1.0, 0, 600, True), (3.0, 8000, 0, True)]
     rows = spark.createDataFrame(full, "rate double, docs long, terms long, want boolean").select("want", block_complete(F.col("rate"), F.lit(int(Level.LOW)), F.col("docs"), F.col("terms")).alias("got")).collect()
     assert all(r.want == r.got for r in rows)
+
+
+def test_five_byte_hashes(spark):
+    """The published test vectors, and the column's hash against that of literals."""
+    known = {b"": 0, b"test": 0xBA6BD213, b"Hello, world!": 0xC0363E43, b"The quick brown fox jumps over the lazy dog": 0x2E4FF723}
+    assert {k: binary.hash32_of(k) for k in known} == known
+    rng = __import__("random").Random(4)
+    values = [bytes(rng.randrange(256) for _ in range(5)) for _ in range(500)] + [b"\xff" * 5, b"\0" * 5]
+    rows = spark.createDataFrame([(bytearray(v),) for v in values], "v binary").select("v", binary.hash32(F.col("v")).alias("h"), binary.bucket(F.col("v")).alias("b")).collect()
+    assert all(r.h == binary.hash32_of(bytes(r.v)) and r.b == binary.bucket_of(bytes(r.v)) for r in rows)
+
+
+def test_keys_without_groups(spark):
+    parts = [F.lit("c"), F.col("i"), F.col("i") * 7, F.lit(1), F.lit(True), F.lit(3), F.lit(False), F.lit(2), F.lit(bytearray(b"ab"))]
+    rows = spark.range(3).select(F.col("id").cast("int").alias("i")).select(binary.without_group(binary.encode_term(*parts)).alias("k"), F.when(F.col("i") == 0, binary.encode_term(*parts)).alias("zero")).collect()
+    assert len({bytes(r.k) for r in rows}) == 1
+    assert bytes(rows[0].k) in {bytes(r.zero) for r in rows if r.zero}
