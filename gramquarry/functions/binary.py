@@ -77,11 +77,6 @@ def grams(value: Column, least: int = NGRAM_MIN, most: int = NGRAM_MAX) -> Colum
     return F.coalesce(F.concat(*parts), none)
 
 
-def proper_grams(value: Column) -> Column:
-    """The distinct grams of a gram that are shorter than it."""
-    return F.filter(F.array_distinct(grams(value, NGRAM_MIN, NGRAM_MAX - 1)), lambda g: F.octet_length(g) < F.octet_length(value))
-
-
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), f), 1)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramquarry.config import HIT_BAND, HIT_TIERS, NGRAM_MAX
-from gramquarry.functions.binary import bucket, grams, index_windows, proper_grams
+from gramquarry.functions.binary import bucket, grams, index_windows
 from gramquarry.operators.ordering import ranked
 
 #: No hits sort after all others.
@@ -51,10 +51,13 @@ def hot_occurrences(rows: DataFrame, hot: DataFrame, keys: tuple[str, ...] = ("c
 def maximal(occurrences: DataFrame, keys: tuple[str, ...] = ("column", "group_id")) -> DataFrame:
     """The hot occurrences that lie in no longer hot gram of their term.
 
-    "Lies in" becomes an equi-join: the proper sub-grams of each hot occurrence are what is not maximal.
+    All grams inside a hot one are hot, so a gram lies in a longer one iff it lies in one longer by a byte: the grams without
+    their first or last byte are what is not maximal. A term is a window of few bytes, so its grams fit a row.
     """
-    covered = occurrences.select(*keys, "term", F.explode(proper_grams(F.col("gram"))).alias("gram")).distinct()
-    return occurrences.join(covered, [*keys, "term", "gram"], "left_anti")
+    of_term = occurrences.groupBy(*keys, "term").agg(F.collect_set("gram").alias("grams"))
+    shorter = lambda g: F.array(F.substring(g, F.lit(1), F.octet_length(g) - 1), F.substring(g, F.lit(2), F.octet_length(g) - 1))
+    covered = F.flatten(F.transform(F.filter("grams", lambda g: F.octet_length(g) > 1), shorter))
+    return of_term.select(*keys, "term", F.explode(F.array_except("grams", covered)).alias("gram"))
 
 
 def numbered(df: DataFrame, keys: tuple[str, ...], order: tuple[Column | str, ...], bounded: bool) -> DataFrame:

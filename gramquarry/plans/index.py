@@ -1,8 +1,10 @@
 """The n-gram index: build, store, look up, merge and delete.
 
 Tables: fp_term (payloads and their headers), fp_posting (a row for each term and document, so that no term's
-documents are ever one row), fp_index (bucket to ordinals) and fp_block (a row for each group). Groups are dealt
-by a hash of the term, which keeps them even and repeatable without ordering a whole column.
+documents are ever one row), fp_index (bucket and gram to ordinals) and fp_block (a row for each group). Groups are
+dealt by a hash of the term, which keeps them even and repeatable without ordering a whole column. Buckets prune
+the sorted fp_index; the gram beside them tells the grams of a bucket apart, so a search of indexed groups reads
+no payloads.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramquarry.config import FORMAT_VERSION, HOT_THRESHOLD, LEVEL_TERMS, NO_INDEX_TERMS, OVER_RATE, BytesMode, Level, block_complete, by_level, target_level
-from gramquarry.functions.binary import bucket, bucket_of, grams, pattern_bytes, query_slices
+from gramquarry.functions.binary import bucket_of, grams, pattern_bytes, query_slices
 from gramquarry.logs import timed
 from gramquarry.operators import mining
 from gramquarry.operators.ordering import out_of_order
@@ -28,7 +30,7 @@ KEYS = ("column", "group_id")
 SCHEMAS = {
     "fp_term": "column string, group_id int, level tinyint, tier string, term_index int, is_del boolean, budget tinyint, payload binary",
     "fp_posting": "column string, tier string, group_id int, term_index int, doc_id bigint",
-    "fp_index": "column string, group_id int, tier string, len_idx int, bucket int, orders array<int>",
+    "fp_index": "column string, group_id int, tier string, len_idx int, bucket int, gram binary, orders array<int>",
     "fp_block": "column string, group_id int, target_level tinyint, hot_count bigint, common_count bigint, doc_count bigint, passed boolean, format_version int",
 }
 #: In which order a stored table's rows lie in each of its files.
@@ -92,10 +94,10 @@ class FpIndex:
         of_hot = top.join(numbered.select(*KEYS, "gram", "term_index"), [*KEYS, "gram"]).select(*KEYS, "term", "term_index").join(term_docs, ["column", "term"])
         posting = of_common.unionByName(of_hot.select(*KEYS, F.lit("hot").alias("tier"), "term_index", "doc_id").distinct())
 
+        orders = lambda rows, tier: mining.bucket_orders(rows.select(*KEYS, F.lit(tier).alias("tier"), "gram", "term_index"), (*KEYS, "tier", "gram"))
         in_hot = numbered.select(*KEYS, "term_index", F.explode(F.array_distinct(grams(F.col("gram")))).alias("gram"))
         rest = mining.residual_grams(rows, hot, (*KEYS, "level")).join(ranked.select(*KEYS, "term", "term_index"), [*KEYS, "term"])
-        index = mining.bucket_orders(in_hot.select(*KEYS, F.lit("hot").alias("tier"), "gram", "term_index"), (*KEYS, "tier"))
-        index = index.unionByName(mining.bucket_orders(rest.select(*KEYS, F.lit("common").alias("tier"), "gram", "term_index"), (*KEYS, "tier")))
+        index = orders(in_hot, "hot").unionByName(orders(rest, "common"))
 
         block = ranked.groupBy(*KEYS, "level").agg(F.count("*").alias("common_count"))
         docs = of_common.groupBy(*KEYS).agg(F.count_distinct("doc_id").alias("doc_count"))
@@ -136,17 +138,14 @@ class FpIndex:
         return self._levels[column]
 
     def lookup(self, column: str, slices: list[bytes]) -> DataFrame:
-        """Distinct (slice, doc_id): terms found through the buckets of both tiers and verified by their payload."""
-        spark = self.term.sparkSession
-        wanted = spark.createDataFrame([(i, bytearray(s), len(s) - 1, bucket_of(s)) for i, s in enumerate(slices)], "slice int, part binary, len_idx int, bucket int")
+        """Distinct (slice, doc_id): the ordinals of the slices' grams in both tiers, joined with the postings."""
+        wanted = self.term.sparkSession.createDataFrame([(i, bytearray(s)) for i, s in enumerate(slices)], "slice int, gram binary")
         # one row for each slice of a pattern: bounded by the pattern, so broadcast
-        orders = self._near(column, slices).join(F.broadcast(wanted), ["len_idx", "bucket"]).select("column", "group_id", "tier", "slice", "part", F.explode("orders").alias("term_index"))
-        terms = self.term.where((F.col("column") == column) & (F.col("level") != int(Level.NONE)) & ~F.col("is_del")).select("column", "group_id", "tier", "term_index", "payload")
-        hits = orders.join(terms, ["column", "group_id", "tier", "term_index"]).where(F.contains("payload", F.col("part")))
-        return self._documents(hits.select("column", "group_id", "tier", "term_index", "slice"))
+        hits = self._near(column, slices).join(F.broadcast(wanted), "gram").select("column", "group_id", "tier", "slice", F.explode("orders").alias("term_index"))
+        return self._documents(hits)
 
     def _near(self, column: str, slices: list[bytes]) -> DataFrame:
-        """The index rows of the slices' buckets."""
+        """The index rows of the slices' buckets, with other grams in them."""
         return self.index.where((F.col("column") == column) & F.col("len_idx").isin(sorted({len(s) - 1 for s in slices})) & F.col("bucket").isin(sorted({bucket_of(s) for s in slices})))
 
     def scan_small(self, column: str, slices: list[bytes]) -> DataFrame:
@@ -161,39 +160,30 @@ class FpIndex:
         return column_docs.select("slice", "doc_id").distinct()
 
     def _few(self, column: str, slices: list[bytes]) -> list[dict[str, list[tuple[int, int]]]] | None:
-        """For each slice the (group, ordinal) of its verified terms by tier; None where candidates exceed MOST_KEYS.
+        """For each slice the (group, ordinal) of its terms by tier; None where there are more than MOST_KEYS in all.
 
-        What reaches the driver is bounded by MOST_KEYS rows, each way.
+        What reaches the driver is bounded by MOST_KEYS rows, of indexed groups and of those too small for an index.
         """
         levels = self.levels(column)
-        near = self._near(column, slices).select("tier", "group_id", "bucket", F.explode("orders").alias("term_index")).limit(MOST_KEYS + 1).collect() if set(levels) - {int(Level.NONE)} else []
-        if len(near) > MOST_KEYS:
-            return None
-        by_bucket = defaultdict(list)
-        for r in near:
-            by_bucket[r.bucket].append(r)
-        of_column = self.term.where(F.col("column") == column)
-        tests = [holds(F.col("payload"), s).alias(f"s{i}") for i, s in enumerate(slices)]
-        any_of = reduce(or_, (F.col(f"s{i}") for i in range(len(slices))))
-        parts = []
-        if near:
-            chosen = F.col("group_id").isin(sorted({r.group_id for r in near})) & F.col("term_index").isin(sorted({r.term_index for r in near}))
-            parts.append(of_column.where(chosen & (F.col("level") != int(Level.NONE)) & ~F.col("is_del") & _key().isin(sorted({r.group_id << 32 | r.term_index for r in near}))))
+        out: list[dict[str, list[tuple[int, int]]]] = [defaultdict(list) for _ in slices]
+        if set(levels) - {int(Level.NONE)}:
+            rows = self._near(column, slices).where(F.col("gram").isin([bytearray(s) for s in slices])).select("tier", "group_id", "gram", F.explode("orders").alias("term_index"))
+            near = rows.orderBy("group_id", "term_index").limit(MOST_KEYS + 1).collect()
+            if len(near) > MOST_KEYS:
+                return None
+            places = {s: i for i, s in enumerate(slices)}
+            for r in near:
+                out[places[bytes(r.gram)]][r.tier].append((r.group_id, r.term_index))
         if int(Level.NONE) in levels:
-            parts.append(of_column.where(F.col("level") == int(Level.NONE)))
-        if not parts:
-            return [{} for _ in slices]
-        known = reduce(DataFrame.unionByName, parts).select("tier", "group_id", "term_index", "level", *tests).where(any_of).limit(2 * MOST_KEYS + 1).collect()
-        if len(known) > 2 * MOST_KEYS:
-            return None
-        out: list[dict[str, list[tuple[int, int]]]] = []
-        for i, s in enumerate(slices):
-            listed = {(r.tier, r.group_id, r.term_index) for r in by_bucket.get(bucket_of(s), ())}
-            hits = defaultdict(list)
+            tests = [holds(F.col("payload"), s).alias(f"s{i}") for i, s in enumerate(slices)]
+            small = self.term.where((F.col("column") == column) & (F.col("level") == int(Level.NONE))).select("tier", "group_id", "term_index", *tests)
+            known = small.where(reduce(or_, (F.col(f"s{i}") for i in range(len(slices))))).orderBy("group_id", "term_index").limit(MOST_KEYS + 1).collect()
+            if len(known) > MOST_KEYS:
+                return None
             for r in known:
-                if r[f"s{i}"] and (r.level == int(Level.NONE) or (r.tier, r.group_id, r.term_index) in listed):
-                    hits[r.tier].append((r.group_id, r.term_index))
-            out.append(hits)
+                for i, hits in enumerate(out):
+                    if r[f"s{i}"]:
+                        hits[r.tier].append((r.group_id, r.term_index))
         return out
 
     def _found(self, column: str, slices: list[bytes]) -> DataFrame:
@@ -237,7 +227,7 @@ class FpIndex:
 
     def funnel(self, column: str, pattern: str | bytes) -> DataFrame:
         """Counts along a candidate search, by level and tier: blocks (groups times slices), buckets (those in which a slice's
-        bucket is), candidates (ordinals in them), missing (without a term), tombstones, mismatches (another payload in the
+        bucket is), candidates (ordinals in them), missing (without a term), tombstones, mismatches (another gram of the
         bucket), verified terms, and hits (posting rows of these). Groups without an index are tier sparse:
         their candidates are all their terms."""
         slices = query_slices(pattern_bytes(pattern))
@@ -245,20 +235,19 @@ class FpIndex:
         groups = self.block.where(F.col("column") == column).select("column", "group_id", F.col("target_level").alias("level"))
         indexed = groups.where(F.col("level") != int(Level.NONE))
         rows = self._near(column, slices).join(F.broadcast(wanted), ["len_idx", "bucket"])
-        orders = rows.select("column", "group_id", "tier", "slice", "part", F.explode("orders").alias("term_index"))
+        orders = rows.select("column", "group_id", "tier", "slice", (F.col("gram") == F.col("part")).alias("same"), F.explode("orders").alias("term_index"))
         terms = self.term.where(F.col("column") == column).select("column", "group_id", "tier", "term_index", "payload", "is_del")
         each = F.explode(F.array(*(F.struct(F.lit(i).alias("slice"), F.lit(bytearray(s)).alias("part")) for i, s in enumerate(slices)))).alias("w")
         sparse = terms.join(groups.where(F.col("level") == int(Level.NONE)), list(KEYS)).select("*", each).select("*", "w.*")
-        checked = orders.join(terms, ["column", "group_id", "tier", "term_index"], "left").join(indexed, list(KEYS)).select("column", "group_id", "level", "tier", F.col("tier").alias("stage"), "slice", "part", "term_index", "payload", "is_del")
-        checked = checked.unionByName(sparse.select("column", "group_id", "level", "tier", F.lit("sparse").alias("stage"), "slice", "part", "term_index", "payload", "is_del"))
-        ok = F.coalesce(F.contains("payload", F.col("part")), F.lit(False)) & ~F.coalesce("is_del", F.lit(False))
-        checked = checked.withColumn("ok", ok)
+        checked = orders.join(terms, ["column", "group_id", "tier", "term_index"], "left").join(indexed, list(KEYS)).select("column", "group_id", "level", "tier", F.col("tier").alias("stage"), "slice", "same", "term_index", F.col("payload").isNull().alias("absent"), "is_del")
+        checked = checked.unionByName(sparse.select("column", "group_id", "level", "tier", F.lit("sparse").alias("stage"), "slice", F.contains("payload", F.col("part")).alias("same"), "term_index", F.lit(False).alias("absent"), "is_del"))
+        checked = checked.withColumn("ok", F.col("same") & ~F.col("absent") & ~F.coalesce("is_del", F.lit(False)))
         held = self.posting.where(F.col("column") == column).groupBy("column", "tier", "group_id", "term_index").agg(F.count("*").alias("held"))
         checked = checked.join(held, ["column", "tier", "group_id", "term_index"], "left")
         number = lambda c: F.sum(F.coalesce(c.cast("long"), F.lit(0)))
         counts = checked.groupBy("level", F.col("stage").alias("tier")).agg(
-            F.count_distinct("group_id", "slice").alias("buckets"), F.count("*").alias("candidates"), number(F.col("payload").isNull()).alias("missing"), number(F.col("is_del")).alias("tombstones"),
-            number(~F.col("ok") & F.col("payload").isNotNull() & ~F.col("is_del")).alias("mismatches"), number(F.col("ok")).alias("verified"), F.sum(F.when(F.col("ok"), F.coalesce("held", F.lit(0))).otherwise(0)).alias("hits"),
+            F.count_distinct("group_id", "slice").alias("buckets"), F.count("*").alias("candidates"), number(F.col("absent")).alias("missing"), number(F.col("is_del")).alias("tombstones"),
+            number(~F.col("same")).alias("mismatches"), number(F.col("ok")).alias("verified"), F.sum(F.when(F.col("ok"), F.coalesce("held", F.lit(0))).otherwise(0)).alias("hits"),
         )
         tiers = F.when(F.col("level") == int(Level.NONE), F.array(F.lit("sparse"))).otherwise(F.array(F.lit("hot"), F.lit("common")))
         blocks = groups.groupBy("level").agg((F.count("*") * len(slices)).alias("blocks")).select("level", F.explode(tiers).alias("tier"), "blocks")
