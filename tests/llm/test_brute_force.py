@@ -79,24 +79,61 @@ def test_near_duplicates(spark, texts, spread):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
-def test_vectors(spark):
-    rng = np.random.default_rng(4)
-    x = rng.standard_normal((1500, 32))
-    for k in range(300):  # near copies at all distances, and a dense group
-        x[k] = x[(k % 20) + 1000] + rng.standard_normal(32) * rng.uniform(0, 0.6)
-    x[1400:1440] = x[1400]
+def planted_vectors(n, dim, seed, close=0.6):
+    """Near copies at all distances around the threshold, and a dense group."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim))
+    for k in range(n // 5):
+        x[k] = x[(k % 20) + n - 500] + rng.standard_normal(dim) * rng.uniform(0, close)
+    x[n - 100 : n - 60] = x[n - 100]
+    return x
+
+
+def exact_links(x):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = u @ u.T >= 0.9
     np.fill_diagonal(near, False)
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(1500), "embedding": x.tolist()}))
-    out = embedding_dedup.near_duplicate_vectors(df, leaf_rows=64, block=50).toPandas().sort_values("vec_id")
+    return near
+
+
+@pytest.mark.parametrize(("n", "options"), [(1500, {"leaf_rows": 64, "block": 50}), (6000, {"leaf_rows": 64, "sample_rows": 400, "block": 128}), (6000, {"leaf_rows": 32, "sample_rows": 100})])
+def test_vectors(spark, n, options):
+    """Recall against brute force, also where the table is many times the sample and leaves are split on the executors."""
+    x = planted_vectors(n, 32, 4)
+    near = exact_links(x)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}))
+    out = embedding_dedup.near_duplicate_vectors(df, **options).toPandas().sort_values("vec_id")
     want = near.sum(axis=1)
     assert (out.n_links.to_numpy() <= want).all()
     assert out.n_links.sum() >= 0.98 * want.sum()
-    component = roots(list(zip(*np.nonzero(near), strict=True)), range(1500))
+    component = roots(list(zip(*np.nonzero(near), strict=True)), range(n))
     assert np.mean([component[i] == c for i, c in zip(out.vec_id, out.component_id, strict=True)]) > 0.98
 
 
+def test_leaves_stay_bounded(spark, monkeypatch):
+    """Without dense groups, no leaf that is compared has more than the limit, however small the sample."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(8000), "embedding": rng.standard_normal((8000, 16)).astype(np.float32).tolist()}))
+    seen, further = [], embedding_dedup._split_further
+    largest = lambda d: d.selectExpr("explode(codes) AS leaf").groupBy("leaf").count().agg({"count": "max"}).first()[0]
+
+    def watched(routed, kind, **options):
+        out = further(routed, kind, **options)
+        seen.append((largest(routed), largest(out), options["limit"]))
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "_split_further", watched)
+    embedding_dedup.near_duplicate_vectors(df, leaf_rows=32, sample_rows=50, trees=3).count()
+    before, after, limit = seen[0]
+    assert before > 10 * limit and after <= limit
+
+
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    rows = [(3, [1.0, 0.0]), (3, [0.0, 1.0]), (5, [1.0, 0.01]), (6, [1.0, 0.02]), (6, [0.0, 1.0]), (2, [-1.0, 0.0])]
+    out = [tuple(r) for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(out) == sorted([(3, 2, 3, True), (3, 1, 3, True), (5, 2, 3, False), (6, 2, 3, False), (6, 1, 3, False), (2, 0, 2, True)])
+
+
 def test_personal_data(spark, docs, texts):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -469,6 +506,20 @@ def test_mix(spark, docs):
     assert out[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
 
 
+def test_mix_of_equal_rows_and_null_ids(spark):
+    """Rows without an id spread by their texts; equal rows follow one another, however many, and reruns agree."""
+    rows = [(None, f"text {i} " * 20, "a") for i in range(5000)] + [(None, "the same text", "a")] * 9000 + [(7, "other words here", "b")] * 300 + [(7, f"w{i}", "b") for i in range(300)] + [(None, None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, bucket_rows=256).toPandas()
+    assert len(out) == len(rows) and (out.taken <= 3 * out["size"]).all()
+    assert (out["size"].value_counts() == pd.Series([len((t or "").split()) for _, t, _ in rows]).value_counts()).all()
+    held = out.groupby("target").agg(taken=("taken", "sum"), size=("source_size", "first"))
+    assert all(abs(r.taken - target) <= 64 + 0.02 * target for target, r in held.iterrows())
+    again = mixing.mix(df.repartition(7), bucket_rows=256).toPandas()
+    key = ["size", "source_size", "taken"]
+    assert out[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
+
+
 def test_mix_of_small_sources_beside_a_huge_total(spark):
     """One slot for the whole mix gives the largest blocks, as a total of 2^32 words does."""
     sizes = {f"s{i:02}": n for i, n in enumerate([300_000, 1, 40, 500, 1000, 2000, 5000, 10_000, 30_000, 300_000])}
