@@ -16,14 +16,16 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramquarry.llm.common import cut_lineage, mix64, texts
+from gramquarry.llm.common import BROADCAST_ROWS, cut_lineage, mix64, texts
 from gramquarry.llm.components import connected_components, local_components
 
 #: Places on the circle; collisions there only add candidates, which are verified.
 D = 1 << 20
+#: Rows of a bucket that go to one task in a join by buckets.
+SHARE = 512
 SIGNATURES = "doc_id long, n_shingles long, fp binary, bands array<long>"
 
 
@@ -176,13 +178,38 @@ def _residual(df: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": first[at], "b": first[root[at]]})
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, small: int = 6, block: int = 512) -> DataFrame:
+def _spread(by_key: DataFrame) -> DataFrame:
+    """One row for each share of a bucket, to be joined by (key, share)."""
+    return by_key.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
+
+
+def _members(nodes: DataFrame, bands: Column) -> DataFrame:
+    """(key, share, shares, n, low, node, size) of all buckets with several nodes.
+
+    A large bucket is cut into shares of about SHARE nodes, so that no task gets a whole one in the joins by key.
+    The large ones are looked up by a broadcast of at most BROADCAST_ROWS rows; were there more, buckets are
+    joined whole, and left to the adaptive splitting of skewed joins.
+    """
+    rows = cut_lineage(nodes.select("node", "size", F.explode(bands).alias("key")).distinct())
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
+    buckets = cut_lineage(buckets.withColumn("shares", F.ceil(F.col("n") / SHARE)))
+    large = buckets.where("shares > 1").select("key", "shares")
+    if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(large), "key", "left").withColumn("share", F.pmod(F.xxhash64("node"), F.coalesce("shares", F.lit(1)))).drop("shares")
+    else:
+        buckets, rows = buckets.withColumn("shares", F.lit(1).cast("long")), rows.withColumn("share", F.lit(0).cast("long"))
+    each = buckets.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    return rows.join(each, ["key", "share"])
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, small: int = 6, block: int = 512, block_shingles: int = 1 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document of (doc_id, text).
 
     Documents with equal shingle sets are one node. Nodes sharing a band are candidates: all pairs of
     a bucket of at most `small` nodes, and in larger ones each node with the bucket's least; each
     distinct pair is verified once. Larger buckets that still hold several components are then compared
-    exactly in blocks of `block` nodes (only across components), so no link is lost to the stars.
+    exactly in blocks (only across components), so no link is lost to the stars. Blocks have about `block` nodes
+    and `block_shingles` shingles at most, or a single larger set.
 
     Null and empty texts and texts without words have no shingles and are linked with nothing. Rows of
     one doc_id are one document for links and give a row each. A null doc_id is never linked: its
@@ -192,10 +219,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     sig = cut_lineage(signatures(docs, width=width, bands=bands, rows=rows))
     known = sig.where("doc_id is not null and fp is not null")
     classes = known.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    nodes = known.withColumnRenamed("doc_id", "node").join(classes, ["fp", "node"], "left_semi")
-    members = nodes.select("node", F.explode("bands").alias("key")).distinct()
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
-    members = cut_lineage(members.join(buckets, "key"))
+    nodes = known.withColumnRenamed("doc_id", "node").withColumnRenamed("n_shingles", "size").join(classes, ["fp", "node"], "left_semi")
+    members = cut_lineage(_members(nodes, F.col("bands")))
     few = members.where(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("all"))
     few = few.select(F.posexplode("all").alias("i", "a"), "all").select("a", F.explode(F.slice("all", F.col("i") + 2, small)).alias("b"))
     stars = members.where((F.col("n") > small) & (F.col("node") != F.col("low"))).select(F.col("low").alias("a"), F.col("node").alias("b"))
@@ -205,12 +230,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     links = cut_lineage(verified(pairs, sets, percent))
     found = connected_components(links)
 
-    large = members.where(F.col("n") > small).join(found, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("component"))
+    large = members.where(F.col("n") > small).join(found, "node", "left").select("key", "share", "shares", "node", "size", F.coalesce("component", "node").alias("component"))
+    large = cut_lineage(large)
     # a bucket's core is the component of its least node; pairs inside the core are settled
-    core = large.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("core")).where("low != high")
-    large = large.join(core, "key").withColumn("rest", F.col("component") != F.col("core"))
-    count = large.groupBy("key").agg(F.ceil(F.sum(F.col("rest").cast("long")) / block).alias("rests"), F.ceil(F.sum((~F.col("rest")).cast("long")) / block).alias("cores"))
-    large = large.join(count, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("cores"))))
+    core = large.groupBy("key", "shares").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("core")).where("low != high")
+    large = large.join(_spread(core.select("key", "shares", "core")), ["key", "share"]).withColumn("rest", F.col("component") != F.col("core"))
+    blocks = lambda part: F.greatest(F.ceil(F.sum(part.cast("long")) / block), F.ceil(F.sum(F.when(part, F.col("size")).otherwise(0)) / block_shingles))
+    count = large.groupBy("key", "shares").agg(blocks(F.col("rest")).alias("rests"), blocks(~F.col("rest")).alias("cores"))
+    large = large.join(_spread(count), ["key", "share"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("cores"))))
     # block pairs: rest blocks with each other and with every core block
     of_rest = F.concat(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j"))),
