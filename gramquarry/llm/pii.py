@@ -3,7 +3,8 @@
 Entities are the values that the patterns find. A term in an entity's documents discloses it by their pointwise
 mutual information over the documents, as a share of the entity's information: log(N n_et / (n_e n_t)) /
 log(N / n_e). Terms above a threshold, seen with the entity in several different contexts, are removed or,
-below a second threshold, generalised. DataFrame and SQL functions only.
+below a second threshold, generalised: wherever the entity stands, and in all other documents too if most
+documents with the term have the entity. DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramquarry.llm.common import cut_lineage
+from gramquarry.llm.common import cut_lineage, small_side, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The contract's patterns. Possessive repeats and the anchor at a run's start (or where the last match
@@ -24,12 +25,14 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A text without these has no match of the kind.
-HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+#: A text without these has no match of the kind; they are found in one pass, without a try at every character.
+HINTS = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"(?:[0-9][\x20-]?){13}", "phone": r"\+[0-9]"}
 #: Scripts without blanks between words; a term is a run of one of them, or of other letters, marks and digits.
 SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 TERM = rf"[{SPACELESS}]++|[\p{{L}}\p{{M}}\p{{N}}&&[^{SPACELESS}]]++"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
+#: Terms that texts are compared with as literals; more are joined.
+MOST_TERMS = 1000
 
 
 def found_in(text: Column, pattern: str) -> Column:
@@ -86,8 +89,7 @@ def base_spans(text: Column) -> Column:
         spans = F.filter(found_in(text, pattern), _test(kind))
         spans = F.transform(spans, _of_kind(k))
         empty = F.array().cast(f"array<{SPAN}>")
-        sure = F.contains(text, F.lit(HINTS[kind])) if HINTS[kind] else F.rlike(text, F.lit("(?:[0-9][\\x20-]?){13}"))
-        parts.append(F.when(sure, spans).otherwise(empty))
+        parts.append(F.when(F.rlike(text, F.lit(HINTS[kind])), spans).otherwise(empty))
     return F.array_sort(F.concat(*parts))
 
 
@@ -124,7 +126,8 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def disclosures(docs: DataFrame, spans: DataFrame, occurrences: DataFrame, *, share: float, contexts: int) -> DataFrame:
-    """(kind, entity, term, share) of the terms that disclose entities, over all documents.
+    """(kind, entity, term, share, points, outside) of the terms that disclose entities, over all documents: points is the share of
+    the documents with the term that have the entity, outside the number of the others.
 
     docs has text; spans has row, text and clean (the text without base spans) of the documents with entities;
     occurrences is near() of them. A document gives an entity and each of its terms one context, the
@@ -135,7 +138,7 @@ def disclosures(docs: DataFrame, spans: DataFrame, occurrences: DataFrame, *, sh
     entities = cut_lineage(entities.where(F.col("n_c") >= contexts).drop("n_c"))
     known = entities.count()
     if not known:
-        return entities.select("kind", "entity", F.lit("").alias("term"), F.lit(0.0).alias("share"))
+        return entities.select("kind", "entity", F.lit("").alias("term"), F.lit(0.0).alias("share"), F.lit(0.0).alias("points"), F.lit(0).cast("long").alias("outside"))
     seen = occurrences.join(F.broadcast(entities) if known <= 20_000 else entities, ["kind", "entity"])
     whole = seen.groupBy("row", "kind", "entity").agg(F.min_by("context", "start").alias("context"))
     whole = whole.join(spans.select("row", words_of(F.col("clean")).alias("terms")), "row").select("kind", "entity", "context", "terms", F.lit(1).alias("n"))
@@ -152,7 +155,7 @@ def disclosures(docs: DataFrame, spans: DataFrame, occurrences: DataFrame, *, sh
     mutual = F.log(F.lit(float(number)) * F.col("n_et") / (F.col("n_e").cast("double") * F.col("n_t")))
     # an entity of every document holds no information to disclose
     scored = together.join(frequencies, "term").withColumn("share", F.when(information > 0, mutual / information).otherwise(0.0))
-    return scored.where(F.col("share") >= share).select("kind", "entity", "term", "share")
+    return scored.where(F.col("share") >= share).select("kind", "entity", "term", "share", (F.col("n_et") / F.col("n_t")).alias("points"), (F.col("n_t") - F.col("n_et")).alias("outside"))
 
 
 def near(spans: DataFrame, reach: int) -> DataFrame:
@@ -182,34 +185,55 @@ def places(texts: DataFrame) -> DataFrame:
     return each.select("row", F.lower("p.value").alias("term"), start.alias("start"), (start + F.length("p.value")).alias("end"))
 
 
-def find_personal(docs: DataFrame, *, share: float = 0.8, contexts: int = 3, reach: int = 60) -> DataFrame:
-    """The table with the columns __found (base spans) and __terms (disclosing terms, value is the share).
+def _holding(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(__digest, text) of the documents that hold any of the terms (term) outside their base spans or in them, each text once."""
+    some = wanted.select("term").limit(MOST_TERMS + 1).collect()
+    texts = docs.where("text is not null").select("text", F.md5("text").alias("__digest"))
+    if len(some) <= MOST_TERMS:  # as literals, no word is shuffled
+        texts = texts.where(F.arrays_overlap(words_of(F.col("text")), F.array(*(F.lit(r.term) for r in some))))
+    else:
+        words = docs.where("text is not null").select(F.md5("text").alias("__digest"), F.explode(words_of(F.col("text"))).alias("term"))
+        texts = texts.join(words.join(wanted.select("term"), "term", "left_semi").select("__digest").distinct(), "__digest", "left_semi")
+    return texts.dropDuplicates(["__digest"])
+
+
+def find_personal(docs: DataFrame, into: tuple[str, str] = ("__found", "__terms"), *, share: float = 0.8, contexts: int = 3, reach: int = 60, elsewhere: float = 0.5) -> DataFrame:
+    """The table with two more columns (into): base spans, and disclosing terms, whose value is the share.
 
     Terms count, and are found, anywhere in the documents that hold their entity; `reach` only says which
-    surroundings of an entity are one context. Terms depend on the text and the corpus alone, so they are
-    joined back by the text's digest. A null text is empty and has no spans; repeated rows have equal
-    spans; a table without entities, or an empty one, has none; other columns pass unchanged.
+    surroundings of an entity are one context. A term is found in documents without the entity too, if at least
+    `elsewhere` of the documents with the term have the entity: there it points to somebody who isn't named. Terms
+    depend on the text and the corpus alone, so they are joined back by the text's digest. A null text is empty and
+    has no spans; repeated rows have equal spans; a table without entities, or an empty one, has none; other
+    columns pass unchanged.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumn("__found", base_spans(text))
-    with_any = found.where(F.size("__found") > 0).select(F.monotonically_increasing_id().alias("row"), F.col("text"), F.col("__found").alias("found"))
+    base, terms = into
+    found = docs.withColumn(base, base_spans(text))
+    with_any = found.where(F.size(base) > 0).select(F.monotonically_increasing_id().alias("row"), F.col("text"), F.col(base).alias("found"))
     with_any = cut_lineage(with_any.withColumn("clean", masked(F.col("text"), F.col("found"))))
     occurrences = cut_lineage(near(with_any, reach))
     telling = cut_lineage(disclosures(docs, with_any, occurrences, share=share, contexts=contexts))
-    spans = F.array().cast(f"array<{SPAN}>").alias("__terms")
+    none = F.array().cast(f"array<{SPAN}>")
     if telling.isEmpty():
-        return found.withColumn("__terms", spans)
+        return found.withColumn(terms, none)
     entities = telling.groupBy("kind", "entity").agg(F.collect_list(F.struct("term", "share")).alias("told"))
     told = occurrences.select("row", "kind", "entity").distinct().join(entities, ["kind", "entity"]).select("row", F.explode("told").alias("t"))
     told = cut_lineage(told.groupBy("row", F.col("t.term").alias("term")).agg(F.max("t.share").alias("share")))
     digested = with_any.withColumn("__digest", F.md5("text"))
     once = digested.join(told.select("row").distinct(), "row", "left_semi").groupBy("__digest").agg(F.min("row").alias("row"))
-    hits = places(with_any.join(once, "row").select("row", "clean")).join(told, ["row", "term"]).join(once, "row")
-    hits = hits.groupBy("__digest").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", F.col("share").cast("string").alias("value")))).cast(f"array<{SPAN}>").alias("__terms"))
+    hits = places(with_any.join(once, "row").select("row", "clean")).join(told, ["row", "term"]).join(once, "row").select("__digest", "start", "end", "share")
+    wide = cut_lineage(telling.where((F.col("outside") > 0) & (F.col("points") >= elsewhere)).groupBy("term").agg(F.max("share").alias("share")))
+    if not wide.isEmpty():
+        others = _holding(docs, wide).withColumn("clean", masked(F.col("text"), base_spans(F.col("text"))))
+        others = cut_lineage(others.select("__digest", "clean").withColumn("row", F.monotonically_increasing_id()))
+        more = places(others.select("row", "clean")).join(wide, "term").join(others.select("row", "__digest"), "row")
+        hits = hits.unionByName(more.select("__digest", "start", "end", "share")).groupBy("__digest", "start", "end").agg(F.max("share").alias("share"))
+    digest, told_terms = unused(found, "__digest", "__told")
+    hits = hits.groupBy(F.col("__digest").alias(digest)).agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", F.col("share").cast("string").alias("value")))).cast(f"array<{SPAN}>").alias(told_terms))
     hits = cut_lineage(hits)
-    side = F.broadcast(hits) if hits.count() <= 2_000 else hits
-    both = found.withColumn("__digest", F.md5(text)).join(side, "__digest", "left").drop("__digest")
-    return both.withColumn("__terms", F.coalesce("__terms", F.array().cast(f"array<{SPAN}>")))
+    both = found.withColumn(digest, F.md5(text)).join(small_side(hits, 2_000), digest, "left").drop(digest)
+    return both.withColumn(terms, F.coalesce(told_terms, none)).drop(told_terms)
 
 
 def personal_spans(docs: DataFrame, **options: float) -> DataFrame:
@@ -227,7 +251,8 @@ def sanitise(docs: DataFrame, *, remove: float = 0.95, **options: float) -> Data
     terms are removed at a share of `remove` or more, else generalised to [TERM]. Spans that begin inside an
     earlier one are covered by its replacement. Texts without spans, and nulls, are unchanged.
     """
-    found = find_personal(docs, **options)
+    base, terms = unused(docs, "__found", "__terms")
+    found = find_personal(docs, (base, terms), **options)
     tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     tag = lambda s: F.when((s["kind"] == 4) & (s["value"].cast("double") >= remove), F.lit("")).otherwise(tags[s["kind"]])
     text = F.col("text")
@@ -237,7 +262,7 @@ def sanitise(docs: DataFrame, *, remove: float = 0.95, **options: float) -> Data
         more = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), tag(s))
         return F.struct(F.when(ahead, s["end"]).otherwise(F.greatest(acc["at"], s["end"])).alias("at"), F.when(ahead, F.array_append(acc["parts"], more)).otherwise(acc["parts"]).alias("parts"))
 
-    spans = F.array_sort(F.concat("__found", "__terms"))
+    spans = F.array_sort(F.concat(base, terms))
     folded = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    clean = F.when(F.size("__found") + F.size("__terms") > 0, folded).otherwise(text)
-    return found.withColumn("text", clean).drop("__found", "__terms")
+    clean = F.when(F.size(base) + F.size(terms) > 0, folded).otherwise(text)
+    return found.withColumn("text", clean).drop(base, terms)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from gramquarry.llm.common import cut_lineage, mix64, texts
+from gramquarry.llm.common import cut_lineage, mix64, texts, unused
 from gramquarry.llm.minhash import word_hashes
 
 LABELLERS = ("signs", "tables", "capitals", "shouting", "plain_words", "word_length", "repetition", "echoes", "sentences")
@@ -145,8 +145,8 @@ def fitting(rows: list[Row], room: int) -> list[Row]:
     return out or sorted(rows, key=lambda r: (r.n, r.h))[:1]
 
 
-def classify(docs: DataFrame, *, sample_rows: int = 3000, sample_chars: int = 4_000_000) -> DataFrame:
-    """The table with __score, the scorer's probability that the row's text is good.
+def classify(docs: DataFrame, into: str = "__score", *, sample_rows: int = 3000, sample_chars: int = 4_000_000) -> DataFrame:
+    """The table with one more column (into), the scorer's probability that the row's text is good.
 
     At most `sample_rows` documents train the scorer, half of them of either posterior label where there are so
     many, chosen by a hash of the text so that reruns agree, and at most `sample_chars` characters of
@@ -181,7 +181,7 @@ def classify(docs: DataFrame, *, sample_rows: int = 3000, sample_chars: int = 4_
     held = docs.sparkSession.sparkContext.broadcast((weights, bias))  # 2^15 weights
 
     names = docs.columns
-    schema = docs.select("*", F.lit(0.0).alias("__score")).schema
+    schema = docs.select("*", F.lit(0.0).alias(into)).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = held.value
@@ -191,7 +191,7 @@ def classify(docs: DataFrame, *, sample_rows: int = 3000, sample_chars: int = 4_
                 for t in some:
                     where, share = features(t)
                     scores.append(float(1 / (1 + np.exp(-np.clip(weights[where] @ share + bias, -50, 50)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, into])
 
     return docs.mapInArrow(score, schema)
 
@@ -205,4 +205,5 @@ def quality_scores(docs: DataFrame, *, threshold: float = 0.3, **options: int) -
 def keep_good(docs: DataFrame, *, threshold: float = 0.3, **options: int) -> DataFrame:
     """The rows that the scorer keeps, with the table's own columns. The threshold lies below even odds: a clean
     document that goes is worse than a poor one that stays."""
-    return classify(docs, **options).where(F.col("__score") >= threshold).drop("__score")
+    (score,) = unused(docs, "__score")
+    return classify(docs, score, **options).where(F.col(score) >= threshold).drop(score)
