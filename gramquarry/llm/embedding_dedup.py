@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramquarry.llm.common import cut_lineage
+from gramquarry.llm.common import cut_lineage, small_side
 from gramquarry.llm.components import connected_components, local_components
 
 #: Share of pairs at cosine 0.9 that one split with 5 % spill leaves together, for directions that are as spread as random ones.
@@ -231,7 +231,7 @@ def _split_further(routed: DataFrame, kind: str, *, limit: int, leaf_rows: int,
         over = cut_lineage(over if stuck is None else over.join(stuck, "leaf", "left_anti"))
         if over.isEmpty():
             break
-        held = routed.select("cls", "vector", F.explode("codes").alias("leaf")).join(over, "leaf")
+        held = routed.select("cls", "vector", F.explode("codes").alias("leaf")).join(small_side(over), "leaf")
         sampled = held.where(F.pmod(F.xxhash64("cls", "leaf"), F.col("n")) < LEAF_SAMPLE)
         fitted = cut_lineage(sampled.groupBy("leaf").applyInPandas(fit, "leaf int, dim int, tree binary"))
         parted = fitted.where("tree is not null")
@@ -248,7 +248,7 @@ def _split_further(routed: DataFrame, kind: str, *, limit: int, leaf_rows: int,
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = 0.9, trees: int | None = None, miss: float = 0.002, leaf_rows: int = 256, spill: float = 0.05, sample_rows: int = 10_000, block: int = 1024, seed: int = 7
+    vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = 0.9, trees: int | None = None, miss: float = 0.002, leaf_rows: int = 512, spill: float = 0.05, sample_rows: int = 10_000, block: int = 1024, seed: int = 7
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of the table.
 
@@ -311,7 +311,7 @@ def near_duplicate_vectors(
     # leaves of at most a block are groups; of larger ones, each pair of blocks
     sizes = routed.select(F.explode("codes").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > block)
     sizes = cut_lineage(sizes.select("leaf", F.ceil(F.col("n") / block).alias("blocks")))  # one row for each dense leaf
-    placed = routed.select("cls", "copies", "vector", "codes", F.explode("codes").alias("leaf")).join(sizes, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = routed.select("cls", "copies", "vector", "codes", F.explode("codes").alias("leaf")).join(small_side(sizes), "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")))
     dealt = placed.select("leaf", F.explode(pairs).alias("p"), "mine", "cls", "copies", "vector", "codes").select("leaf", "p.i", "p.j", "mine", "cls", "copies", "vector", "codes")
