@@ -10,9 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramquarry.llm.common import cut_lineage, table
+from gramquarry.llm.common import cut_lineage, table, unused
 from gramquarry.llm.minhash import near_duplicates
-from gramquarry.llm.mixing import mix
+from gramquarry.llm.mixing import mix, words_in
 from gramquarry.llm.packing import pack_documents
 from gramquarry.llm.pii import sanitise
 from gramquarry.llm.quality import keep_good
@@ -48,10 +48,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents that the mix doesn't take, and texts without words, go. Rows with a null doc_id or
     repeating one are taken by the average of their id.
     """
-    taken = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__copies")).where("__copies > 0")
-    taken = taken.withColumnRenamed("doc_id", "__id")
-    both = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["__id"]))  # as long as the documents: never broadcast
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(docs.columns)
+    copies, of, copy = unused(docs, "__copies", "__of", "__copy")
+    taken = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias(of)).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(copies)).where(F.col(copies) > 0)
+    both = docs.where(words_in(F.col("text")) > 0).join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col(of)))  # as long as the documents: never broadcast
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
