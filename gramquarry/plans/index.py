@@ -39,6 +39,8 @@ ORDERS = {"fp_term": ("column", "group_id", "term_index"), "fp_posting": ("colum
 SHORT = 2
 #: Term candidates of a search that are filtered by their keys; more are joined.
 MOST_KEYS = 4096
+#: Groups, each of thousands of terms, whose fates a merge broadcasts; more are joined.
+MOST_GROUPS = 50_000
 
 
 def _key() -> Column:
@@ -301,12 +303,15 @@ class FpIndex:
             order = Window.partitionBy("column").orderBy("index_id", "group_id")
             moved = cut_lineage(fates.where("passed").select("column", "index_id", "group_id", (F.row_number().over(order) - 1).cast("int").alias("to")))
             alive = lambda rows: rows if deleted is None else rows.join(deleted.select("doc_id").distinct(), "doc_id", "left_anti")
+            # beside the groups' rows, the tables of groups are small; stored, they have no size that the planner knows
+            side = F.broadcast if fates.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS else lambda df: df
             rest = fates.where("not passed").select("column", "index_id", "group_id")
-            rows = reduce(DataFrame.unionByName, [_term_docs(_of(x.term, rest, i), alive(_of(x.posting, rest, i))) for i, x in enumerate(indexes)])
+            of = lambda table, groups, i: table.join(side(groups.where(F.col("index_id") == i).drop("index_id")), list(KEYS))
+            rows = reduce(DataFrame.unionByName, [_term_docs(of(x.term, rest, i), alive(of(x.posting, rest, i))) for i, x in enumerate(indexes)])
             built = FpIndex.of_terms(rows.select("column", "term", "doc_id").distinct(), **options)
             if moved.isEmpty():
                 return built
-            gather = lambda name: reduce(DataFrame.unionByName, [_of(getattr(x, name), moved, i).withColumn("group_id", F.col("to")).drop("to") for i, x in enumerate(indexes)])
+            gather = lambda name: reduce(DataFrame.unionByName, [of(getattr(x, name), moved, i).withColumn("group_id", F.col("to")).drop("to") for i, x in enumerate(indexes)])
             term, posting, index = gather("term"), cut_lineage(alive(gather("posting"))), gather("index")
             if deleted is not None:
                 held = posting.select(*KEYS, "tier", "term_index").distinct().withColumn("held", F.lit(True))
@@ -316,7 +321,7 @@ class FpIndex:
             block = counts.join(docs, list(KEYS), "left").select(*KEYS, "target_level", "hot_count", "common_count", F.coalesce("doc_count", F.lit(0)).alias("doc_count"), F.lit(True).alias("passed"), F.lit(FORMAT_VERSION).alias("format_version"))
             # new groups are numbered after those that passed
             after = moved.groupBy("column").agg(F.count("*").cast("int").alias("to"))
-            shift = lambda df: df.join(after, "column", "left").withColumn("group_id", F.col("group_id") + F.coalesce("to", F.lit(0))).drop("to")
+            shift = lambda df: df.join(side(after), "column", "left").withColumn("group_id", F.col("group_id") + F.coalesce("to", F.lit(0))).drop("to")
             parts = zip((term, posting, index, block), (built.term, built.posting, built.index, built.block), strict=True)
             return FpIndex(*(old.unionByName(shift(new)) for old, new in parts))
 
@@ -332,11 +337,6 @@ class FpIndex:
         return FpIndex.merge([self], deleted=deleted, **options)
 
 
-def _of(table: DataFrame, groups: DataFrame, index_id: int) -> DataFrame:
-    """The rows of some groups of one version, with the groups' other columns. Groups are few: a row for thousands of terms."""
-    return table.join(groups.where(F.col("index_id") == index_id).drop("index_id"), list(KEYS))
-
-
 def _term_docs(term: DataFrame, posting: DataFrame) -> DataFrame:
     common = term.where("tier = 'common'").select(*KEYS, "term_index", F.col("payload").alias("term"))
     return posting.where("tier = 'common'").join(common, [*KEYS, "term_index"]).select("column", "term", "doc_id").distinct()

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from gramquarry.config import HOT_THRESHOLD, LAYER_THRESHOLD, LEVEL_TERMS, OVER_RATE, BytesMode, Level, block_complete, by_level, target_level
 from gramquarry.functions import binary
+from gramquarry.functions.sql import register
 from gramquarry.operators import mining
 from gramquarry.plans.index import FpIndex
 from gramquarry.plans.search import any_of, candidate, exact, match, scan_search
 from gramquarry.session import shared_folder
 from gramquarry.sources import columns
+from gramquarry.streaming.ingest import VersionedIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,6 +99,25 @@ def search_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match(table(spark, sf_dir, "documents"), "text", "of the ent").agg(F.count("*").alias("n"))
 
 
+@query("SELECT doc_id, n_chars FROM documents WHERE contains(text, 'of th') AND contains(text, 'the e') AND contains(text, 'e ent')")
+def sql_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search in SQL: documents that hold every slice that the table function cuts the pattern into."""
+    register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("searched_documents")
+    return spark.sql(
+        """WITH s AS (SELECT collect_list(slice) AS slices FROM fp_slices(CAST('of the ent' AS BINARY)))
+        SELECT doc_id, n_chars FROM searched_documents JOIN s WHERE forall(slices, x -> fp_contains(CAST(text AS BINARY), x))"""  # one row beside each
+    )
+
+
+@query("SELECT c_custkey, 1 AS n, CAST((4 << 24) | (CAST('0x' || substr(hex(encode(c_name)), 1, 8) AS BIGINT) & 16777215) AS INTEGER) AS bucket FROM customer")
+def sql_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows and buckets in SQL: how many index windows a short value has, and the bucket of its first four bytes."""
+    register(spark)
+    table(spark, sf_dir, "customer").createOrReplaceTempView("windowed_customers")
+    return spark.sql("SELECT c_custkey, size(fp_windows(CAST(c_name AS BINARY), 32, 27)) AS n, fp_bucket(substring(CAST(c_name AS BINARY), 1, 4)) AS bucket FROM windowed_customers")
+
+
 # ---- sources
 
 
@@ -533,6 +554,18 @@ def write_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.write_counters().join(terms, "column").select(F.col("column").alias("field"), "terms", "doclist_common")
 
 
+@query("SELECT event_id FROM events WHERE contains(json_extract_string(props, '$.k'), '6')")
+def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream into index versions, whose JSON keys are columns, and a search over the versions."""
+    at = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("event_id", "props")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
+    index = VersionedIndex(spark, f"{at}/versions")
+    index.ingest(stream, f"{at}/checkpoint", lambda df: columns.from_json(df, "event_id", "props")).awaitTermination()
+    index.finish()
+    return index.search("k", "6").select(F.col("doc_id").alias("event_id"))
+
+
 @query("SELECT hex(encode(p_name)) AS payload, count(*) AS n FROM part GROUP BY p_name")
 def index_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term of a stored index with its documents' number."""
