@@ -3,8 +3,8 @@
 Entities are the values that the patterns find. A term in an entity's documents discloses it by their pointwise
 mutual information over the documents, as a share of the entity's information: log(N n_et / (n_e n_t)) /
 log(N / n_e). Terms above a threshold, seen with the entity in several different contexts, are removed or,
-below a second threshold, generalised: wherever the entity stands, and in all other documents too if most
-documents with the term have the entity. DataFrame and SQL functions only.
+below a second threshold, generalised: wherever the entity stands, and in all other documents too if nearly
+all documents with the term have the entity. DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ HINTS = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card":
 SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 TERM = rf"[{SPACELESS}]++|[\p{{L}}\p{{M}}\p{{N}}&&[^{SPACELESS}]]++"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
+#: Signs around the places of terms; texts have blanks for them while they are searched.
+OPEN, CLOSE = "\x01", "\x02"
 #: Terms that texts are compared with as literals; more are joined.
 MOST_TERMS = 1000
 
@@ -173,31 +175,36 @@ def near(spans: DataFrame, reach: int) -> DataFrame:
 
 
 def places(texts: DataFrame) -> DataFrame:
-    """(row, term, start, end) of every term of (row, clean). Positions are running sums over rows, as arrays
-    that grow by a word each would take the square of a long text's words."""
-    clean = F.col("clean")
-    runs = texts.select("row", F.posexplode(F.arrays_zip(F.split(clean, TERM, -1).alias("gap"), F.regexp_extract_all(clean, F.lit(TERM), F.lit(0)).alias("run"))).alias("at", "p"))
-    runs = runs.select("row", "at", F.length("p.gap").alias("gap"), F.col("p.run").alias("run"))
-    upto = F.sum(F.col("gap") + F.coalesce(F.length("run"), F.lit(0))).over(Window.partitionBy("row").orderBy("at"))
-    runs = runs.withColumn("start", (upto - F.length("run")).cast("int")).where(F.col("run").isNotNull())
-    each = runs.select("row", "start", F.explode(_parts(F.col("run"))).alias("p"))
+    """(row, term, start, end) of the terms of `told` wherever they stand in `clean`, for (row, clean, told).
+
+    Signs are set around the runs that hold one, so that only those become rows. Positions are running sums over
+    rows, as arrays that grow by a place each would take the square of a long text's places.
+    """
+    clean = F.translate("clean", OPEN + CLOSE, "  ")
+    runs = F.arrays_zip(F.split(clean, TERM, -1).alias("gap"), F.regexp_extract_all(clean, F.lit(TERM), F.lit(0)).alias("run"))
+    has = lambda run: F.exists(_parts(run), lambda p: F.array_contains("told", F.lower(p["value"])))
+    marked = F.transform(runs, lambda x: F.concat(x["gap"], F.when(x["run"].isNull(), "").when(has(x["run"]), F.concat(F.lit(OPEN), x["run"], F.lit(CLOSE))).otherwise(x["run"])))
+    parts = texts.select("row", "told", F.split(F.array_join(marked, ""), f"[{OPEN}{CLOSE}]", -1).alias("parts")).where(F.size("parts") > 2)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2)), lambda k: F.struct(F.length(F.element_at("parts", k)).alias("gap"), F.element_at("parts", k + 1).alias("run")))
+    found = parts.select("row", "told", F.posexplode(pairs).alias("at", "p")).select("row", "told", "at", "p.gap", "p.run")
+    upto = F.sum(F.col("gap") + F.length("run")).over(Window.partitionBy("row").orderBy("at"))
+    found = found.withColumn("start", (upto - F.length("run")).cast("int"))
+    each = found.select("row", "told", "start", F.explode(_parts(F.col("run"))).alias("p")).where(F.array_contains("told", F.lower("p.value")))
     start = F.col("start") + F.col("p.at")
     return each.select("row", F.lower("p.value").alias("term"), start.alias("start"), (start + F.length("p.value")).alias("end"))
 
 
 def _holding(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(__digest, text) of the documents that hold any of the terms (term) outside their base spans or in them, each text once."""
+    """(__digest, text, told) of the documents that hold any of the terms (term), each text once, with those that it holds."""
     some = wanted.select("term").limit(MOST_TERMS + 1).collect()
     texts = docs.where("text is not null").select("text", F.md5("text").alias("__digest"))
     if len(some) <= MOST_TERMS:  # as literals, no word is shuffled
-        texts = texts.where(F.arrays_overlap(words_of(F.col("text")), F.array(*(F.lit(r.term) for r in some))))
-    else:
-        words = docs.where("text is not null").select(F.md5("text").alias("__digest"), F.explode(words_of(F.col("text"))).alias("term"))
-        texts = texts.join(words.join(wanted.select("term"), "term", "left_semi").select("__digest").distinct(), "__digest", "left_semi")
-    return texts.dropDuplicates(["__digest"])
+        return texts.withColumn("told", F.array_intersect(words_of(F.col("text")), F.array(*(F.lit(r.term) for r in some)))).where(F.size("told") > 0).dropDuplicates(["__digest"])
+    words = texts.select("__digest", F.explode(words_of(F.col("text"))).alias("term")).join(wanted.select("term"), "term", "left_semi")
+    return texts.dropDuplicates(["__digest"]).join(words.groupBy("__digest").agg(F.collect_set("term").alias("told")), "__digest")
 
 
-def find_personal(docs: DataFrame, into: tuple[str, str] = ("__found", "__terms"), *, share: float = 0.8, contexts: int = 3, reach: int = 60, elsewhere: float = 0.5) -> DataFrame:
+def find_personal(docs: DataFrame, into: tuple[str, str] = ("__found", "__terms"), *, share: float = 0.8, contexts: int = 3, reach: int = 60, elsewhere: float = 0.9) -> DataFrame:
     """The table with two more columns (into): base spans, and disclosing terms, whose value is the share.
 
     Terms count, and are found, anywhere in the documents that hold their entity; `reach` only says which
@@ -222,12 +229,13 @@ def find_personal(docs: DataFrame, into: tuple[str, str] = ("__found", "__terms"
     told = cut_lineage(told.groupBy("row", F.col("t.term").alias("term")).agg(F.max("t.share").alias("share")))
     digested = with_any.withColumn("__digest", F.md5("text"))
     once = digested.join(told.select("row").distinct(), "row", "left_semi").groupBy("__digest").agg(F.min("row").alias("row"))
-    hits = places(with_any.join(once, "row").select("row", "clean")).join(told, ["row", "term"]).join(once, "row").select("__digest", "start", "end", "share")
+    of_row = told.groupBy("row").agg(F.collect_list("term").alias("told"))
+    hits = places(with_any.join(once, "row").select("row", "clean").join(of_row, "row")).join(told, ["row", "term"]).join(once, "row").select("__digest", "start", "end", "share")
     wide = cut_lineage(telling.where((F.col("outside") > 0) & (F.col("points") >= elsewhere)).groupBy("term").agg(F.max("share").alias("share")))
     if not wide.isEmpty():
         others = _holding(docs, wide).withColumn("clean", masked(F.col("text"), base_spans(F.col("text"))))
-        others = cut_lineage(others.select("__digest", "clean").withColumn("row", F.monotonically_increasing_id()))
-        more = places(others.select("row", "clean")).join(wide, "term").join(others.select("row", "__digest"), "row")
+        others = cut_lineage(others.select("__digest", "clean", "told").withColumn("row", F.monotonically_increasing_id()))
+        more = places(others.select("row", "clean", "told")).join(wide, "term").join(others.select("row", "__digest"), "row")
         hits = hits.unionByName(more.select("__digest", "start", "end", "share")).groupBy("__digest", "start", "end").agg(F.max("share").alias("share"))
     digest, told_terms = unused(found, "__digest", "__told")
     hits = hits.groupBy(F.col("__digest").alias(digest)).agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", F.col("share").cast("string").alias("value")))).cast(f"array<{SPAN}>").alias(told_terms))

@@ -190,7 +190,7 @@ def test_disclosing_terms_of_the_whole_document(spark):
     assert clean[2] == f" {filler}xccc [EMAIL] {filler}  "
 
 
-def slow_terms(rows, spans_of, reach=60, share=0.8, contexts=3, elsewhere=0.5):
+def slow_terms(rows, spans_of, reach=60, share=0.8, contexts=3, elsewhere=0.7):
     """Disclosing term spans of each (id, text), document by document, as the docstrings of pii say."""
     spaceless = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}"
     term = regex.compile(rf"(?V1)[{spaceless}]++|[[\p{{L}}\p{{M}}\p{{N}}]--[{spaceless}]]++")
@@ -268,7 +268,7 @@ def test_terms_by_brute_force(spark):
     rows = list(enumerate(rows))
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     want = slow_terms(rows, lambda t: [(m.start(), 0, m.end()) for m in email.finditer(t)])
-    out = {r.doc_id: r.spans for r in pii.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r.spans for r in pii.personal_spans(spark.createDataFrame(rows, "doc_id long, text string"), elsewhere=0.7).collect()}
     for i, t in rows:
         got = [tuple(map(int, x.split(":")[1:])) for x in out[i].split(",") if x.startswith("term")]
         assert got == [(s, e) for s, _, e in want[i]], t
@@ -278,11 +278,11 @@ def test_terms_by_brute_force(spark):
 
 def test_terms_elsewhere_by_join(spark, monkeypatch):
     """With more terms than literals may be, words are joined; the spans are the same."""
-    rows = [(i, f"{'abcdefgh'[i] * 5} zebraword with jo@x.com and {'klmnopqr'[i] * 4} there") for i in range(8)] + [(50, "only zebraword here"), (51, None)] + [(100 + i, "nothing of that here") for i in range(60)]
+    rows = [(i, f"{chr(97 + i) * 5} zebraword with jo@x.com and {chr(97 + i) * 4} there") for i in range(12)] + [(50, "only zebraword here\x01\x02 ZEBRAWORD"), (51, None)] + [(100 + i, "nothing of that here") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     spans = lambda: {r.doc_id: r.spans for r in pii.personal_spans(df).collect()}
     few = spans()
-    assert few[50] == "term:5:14" and few[100] == few[51] == ""
+    assert few[50] == "term:5:14,term:22:31" and few[100] == few[51] == ""
     monkeypatch.setattr(pii, "MOST_TERMS", 0)
     assert spans() == few
 
