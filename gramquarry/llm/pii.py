@@ -175,7 +175,8 @@ def near(spans: DataFrame, reach: int) -> DataFrame:
 
 
 def places(texts: DataFrame) -> DataFrame:
-    """(row, term, start, end) of the terms of `told` wherever they stand in `clean`, for (row, clean, told).
+    """(row, term, start, end) of the terms of `told` wherever they stand in `clean`, for (row, clean, told), and of other
+    terms in the same runs.
 
     Signs are set around the runs that hold one, so that only those become rows. Positions are running sums over
     rows, as arrays that grow by a place each would take the square of a long text's places.
@@ -184,12 +185,12 @@ def places(texts: DataFrame) -> DataFrame:
     runs = F.arrays_zip(F.split(clean, TERM, -1).alias("gap"), F.regexp_extract_all(clean, F.lit(TERM), F.lit(0)).alias("run"))
     has = lambda run: F.exists(_parts(run), lambda p: F.array_contains("told", F.lower(p["value"])))
     marked = F.transform(runs, lambda x: F.concat(x["gap"], F.when(x["run"].isNull(), "").when(has(x["run"]), F.concat(F.lit(OPEN), x["run"], F.lit(CLOSE))).otherwise(x["run"])))
-    parts = texts.select("row", "told", F.split(F.array_join(marked, ""), f"[{OPEN}{CLOSE}]", -1).alias("parts")).where(F.size("parts") > 2)
+    parts = texts.select("row", F.split(F.array_join(marked, ""), f"[{OPEN}{CLOSE}]", -1).alias("parts")).where(F.size("parts") > 2)
     pairs = F.transform(F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2)), lambda k: F.struct(F.length(F.element_at("parts", k)).alias("gap"), F.element_at("parts", k + 1).alias("run")))
-    found = parts.select("row", "told", F.posexplode(pairs).alias("at", "p")).select("row", "told", "at", "p.gap", "p.run")
+    found = parts.select("row", F.posexplode(pairs).alias("at", "p")).select("row", "at", "p.gap", "p.run")
     upto = F.sum(F.col("gap") + F.length("run")).over(Window.partitionBy("row").orderBy("at"))
     found = found.withColumn("start", (upto - F.length("run")).cast("int"))
-    each = found.select("row", "told", "start", F.explode(_parts(F.col("run"))).alias("p")).where(F.array_contains("told", F.lower("p.value")))
+    each = found.select("row", "start", F.explode(_parts(F.col("run"))).alias("p"))
     start = F.col("start") + F.col("p.at")
     return each.select("row", F.lower("p.value").alias("term"), start.alias("start"), (start + F.length("p.value")).alias("end"))
 
@@ -224,9 +225,11 @@ def find_personal(docs: DataFrame, into: tuple[str, str] = ("__found", "__terms"
     none = F.array().cast(f"array<{SPAN}>")
     if telling.isEmpty():
         return found.withColumn(terms, none)
-    entities = telling.groupBy("kind", "entity").agg(F.collect_list(F.struct("term", "share")).alias("told"))
-    told = occurrences.select("row", "kind", "entity").distinct().join(entities, ["kind", "entity"]).select("row", F.explode("told").alias("t"))
-    told = cut_lineage(told.groupBy("row", F.col("t.term").alias("term")).agg(F.max("t.share").alias("share")))
+    # the words of a row that tell of an entity which is there: never all terms of an entity beside each of its rows
+    there = occurrences.select("row", "kind", "entity").distinct().join(telling.select("kind", "entity").distinct(), ["kind", "entity"], "left_semi")
+    held = with_any.join(there.select("row").distinct(), "row", "left_semi").select("row", F.explode(words_of(F.col("clean"))).alias("term"))
+    told = held.join(telling.select("kind", "entity", "term", "share"), "term").join(there, ["row", "kind", "entity"], "left_semi")
+    told = cut_lineage(told.groupBy("row", "term").agg(F.max("share").alias("share")))
     digested = with_any.withColumn("__digest", F.md5("text"))
     once = digested.join(told.select("row").distinct(), "row", "left_semi").groupBy("__digest").agg(F.min("row").alias("row"))
     of_row = told.groupBy("row").agg(F.collect_list("term").alias("told"))
