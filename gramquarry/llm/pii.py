@@ -27,9 +27,11 @@ PATTERNS = {
 }
 #: A text without these has no match of the kind; they are found in one pass, without a try at every character.
 HINTS = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"(?:[0-9][\x20-]?){13}", "phone": r"\+[0-9]"}
-#: Scripts without blanks between words; a term is a run of one of them, or of other letters, marks and digits.
+#: Scripts without blanks between words, all of them above U+0E00; the range is tested first, as scripts are looked up slowly.
 SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-TERM = rf"[{SPACELESS}]++|[\p{{L}}\p{{M}}\p{{N}}&&[^{SPACELESS}]]++"
+DENSE = rf"[\x{{0e00}}-\x{{10ffff}}&&[{SPACELESS}]]"
+#: A term is a run of one of them, or of other letters, marks and digits; the commonest are listed for speed.
+TERM = rf"[a-zA-Z0-9\x{{e0}}-\x{{f6}}\x{{f8}}-\x{{ff}}[\p{{L}}\p{{M}}\p{{N}}&&[^{SPACELESS}]]]++|{DENSE}++"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 #: Signs around the places of terms; texts have blanks for them while they are searched.
 OPEN, CLOSE = "\x01", "\x02"
@@ -105,14 +107,14 @@ def words_of(text: Column) -> Column:
     pairs of neighbours in the run."""
     low = F.lower(text)
     runs = F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
-    return F.array_distinct(F.when(F.rlike(low, F.lit(f"[{SPACELESS}]")), F.flatten(F.transform(runs, lambda r: F.transform(_parts(r), lambda p: p["value"])))).otherwise(runs))
+    return F.array_distinct(F.when(F.rlike(low, F.lit(DENSE)), F.flatten(F.transform(runs, lambda r: F.transform(_parts(r), lambda p: p["value"])))).otherwise(runs))
 
 
 def _parts(run: Column) -> Column:
     """array<struct<at, value>>: the run itself, or its pairs where its script sets no blanks."""
     whole = F.array(F.struct(F.lit(0).alias("at"), run.alias("value")))
     pairs = F.transform(F.sequence(F.lit(0), F.length(run) - 2), lambda i: F.struct(i.alias("at"), F.substring(run, i + 1, F.lit(2)).alias("value")))
-    return F.when(F.rlike(run, F.lit(f"^[{SPACELESS}]")) & (F.length(run) > 2), pairs).otherwise(whole)
+    return F.when(F.rlike(run, F.lit(f"^{DENSE}")) & (F.length(run) > 2), pairs).otherwise(whole)
 
 
 def masked(text: Column, spans: Column) -> Column:
