@@ -59,19 +59,21 @@ class FpIndex:
     _levels: dict[str, dict[int, int]] = field(default_factory=dict, repr=False)
 
     @staticmethod
-    def build(source: DataFrame, *, no_index_terms: int = NO_INDEX_TERMS, level: Level | None = None) -> FpIndex:
+    def build(source: DataFrame, *, no_index_terms: int = NO_INDEX_TERMS, level: Level | None = None, groups: int | None = None) -> FpIndex:
         """From a (doc_id, column, value) source. Tables that are used several times are checkpointed."""
-        return FpIndex.of_terms(mining.terms(source), no_index_terms=no_index_terms, level=level)
+        return FpIndex.of_terms(mining.terms(source), no_index_terms=no_index_terms, level=level, groups=groups)
 
     @staticmethod
-    def of_terms(term_docs: DataFrame, *, no_index_terms: int = NO_INDEX_TERMS, level: Level | None = None) -> FpIndex:
-        """From distinct (column, term, doc_id)."""
+    def of_terms(term_docs: DataFrame, *, no_index_terms: int = NO_INDEX_TERMS, level: Level | None = None, groups: int | None = None) -> FpIndex:
+        """From distinct (column, term, doc_id). A number of groups may be given instead of the level's; they then hold any number
+        of terms, so their ordinals are counted over ranges."""
+        bounded = groups is None
         term_docs = cut_lineage(term_docs)
         # aggregated per column: a row for each column, joined by its real size
         totals = term_docs.groupBy("column").agg(F.count_distinct("term").alias("terms"), F.count_distinct("doc_id").alias("docs"))
         totals = totals.withColumn("level", F.lit(int(level)) if level else target_level(F.col("terms"), F.col("docs")))
         cap = F.floor(by_level(F.col("level"), LEVEL_TERMS) * by_level(F.col("level"), OVER_RATE))
-        totals = totals.select("column", "level", F.ceil(F.col("terms") / cap).alias("groups"))
+        totals = totals.select("column", "level", (F.ceil(F.col("terms") / cap) if bounded else F.lit(groups)).alias("groups"))
         dealt = term_docs.select("column", "term").distinct().join(totals, "column")
         dealt = dealt.select("column", F.pmod(F.xxhash64("term"), F.col("groups")).cast("int").alias("group_id"), "level", "term")
         sizes = dealt.groupBy(*KEYS).agg(F.count("*").alias("n"))
@@ -83,9 +85,9 @@ class FpIndex:
         occurrences = mining.hot_occurrences(rows, hot, (*KEYS, "level"))
         top = cut_lineage(mining.maximal(occurrences, (*KEYS, "level")))
         owned = top.select(*KEYS, "level", "gram").distinct().withColumn("is_del", F.lit(False))
-        numbered = mining.ordinals(hot, (*KEYS, "level")).join(owned, [*KEYS, "level", "gram"], "left").withColumn("is_del", F.coalesce("is_del", F.lit(True)))
+        numbered = mining.ordinals(hot, (*KEYS, "level"), bounded=bounded).join(owned, [*KEYS, "level", "gram"], "left").withColumn("is_del", F.coalesce("is_del", F.lit(True)))
         numbered = cut_lineage(numbered)
-        ranked = cut_lineage(mining.flush_ranks(mining.hit_counts(dealt, top, (*KEYS, "level")), (*KEYS, "level")))
+        ranked = cut_lineage(mining.flush_ranks(mining.hit_counts(dealt, top, (*KEYS, "level")), (*KEYS, "level"), bounded=bounded))
 
         header = (*KEYS, "level", "tier", "term_index", "is_del", "budget", "payload")
         hot_terms = numbered.select(*KEYS, "level", F.lit("hot").alias("tier"), "term_index", "is_del", mining.budget(F.col("gram")).cast("tinyint").alias("budget"), F.col("gram").alias("payload"))
