@@ -229,6 +229,15 @@ class FpIndex:
         values = source.where((F.col("column") == column) & exact(F.col("value"), q))
         return values.join(docs, "doc_id", "left_semi").select("doc_id").distinct()
 
+    def search_all(self, column: str, patterns: list[str | bytes]) -> DataFrame:
+        """doc_id of the documents that are candidates of every pattern: one lookup of all their slices."""
+        each = [query_slices(pattern_bytes(p)) for p in patterns]
+        if not each or not all(each):
+            return self.posting.select("doc_id").where("false")
+        slices = list(dict.fromkeys(s for some in each for s in some))
+        with timed("search", "lookup", column=column, slices=len(slices)):
+            return self._found(column, slices)
+
     def funnel(self, column: str, pattern: str | bytes) -> DataFrame:
         """Counts along a candidate search, by level and tier: blocks (groups times slices), buckets (those in which a slice's
         bucket is), candidates (ordinals in them), missing (without a term), tombstones, mismatches (another gram of the
